@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_lines
+from . import language, mixing, quality_lines, redirects, secrets, toxicity
 from .common import table
 
 
@@ -13,5 +14,37 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.apply(docs, quality_lines.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_line_quality": op1_line_quality}
-ORACLE_SQL: dict[str, str] = {}
+def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.replicate(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", "copy", "n_copies", F.md5("text").alias("text_md5"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.apply(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = language.apply(docs, language.fit(docs))
+    return scored.select("doc_id", "held_out", "lang_pred", "score", "n_letter_words", "n_switches")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op10_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redirects.judge(table(spark, sf_dir, "pages")).drop("component")
+
+
+QUERIES = {
+    "op1_line_quality": op1_line_quality,
+    "op2_poisson_mix": op2_poisson_mix,
+    "op3_toxicity": op3_toxicity,
+    "op6_language": op6_language,
+    "op9_secrets": op9_secrets,
+    "op10_redirects": op10_redirects,
+}
+ORACLE_SQL: dict[str, str] = {"op2_poisson_mix": mixing.ORACLE_SQL}
