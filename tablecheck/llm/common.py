@@ -65,8 +65,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         yield batch.slice(lo)
 
 
-def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text", most: int = 2_000_000) -> DataFrame:
-    """work() on slices of bounded text; it returns a column of values by name, in the order of schema."""
+def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema, column: str = "text", most: int = 2_000_000) -> DataFrame:
+    """work() on slices of bounded text; it returns a column of values by name, as schema (text or StructType) names and orders them."""
     spark = df.sparkSession
     from pyspark.sql.pandas.types import to_arrow_schema
 

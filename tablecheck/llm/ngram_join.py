@@ -336,9 +336,16 @@ def join(docs: DataFrame, threshold: float = 0.8, trees: int = 24, depth: int =
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """docs with one row of each class, the one with the least doc_id; rows without doc_id stay."""
     columns = docs.columns
-    classes = join(docs, **parameters)
-    kept = written(classes.where("doc_id = class_id").select(F.col("doc_id").alias("_id")).groupBy("_id").agg(F.count(F.lit(1)).alias("_n")))
-    side = F.broadcast(kept) if kept.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else kept
-    out = docs.join(side, F.col("doc_id") == F.col("_id"))
-    once, repeated = out.where("_n = 1").select(*columns), out.where("_n > 1").select(*columns).dropDuplicates(["doc_id"])
-    return once.union(repeated).union(docs.where("doc_id is null").select(*columns))
+    classes = written(join(docs, **parameters))
+    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    again = classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    out = docs.join(_side(gone), "doc_id", "left_anti")
+    if again.take(1):  # repeated rows of one id
+        out = out.join(_side(again), "doc_id", "left_anti").union(docs.join(_side(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(*columns)
+
+
+def _side(ids: DataFrame) -> DataFrame:
+    """Ids to be broadcast if they are few."""
+    ids = written(ids)
+    return F.broadcast(ids) if ids.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else ids

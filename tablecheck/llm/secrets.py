@@ -227,7 +227,8 @@ def report(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules=RULES, mask: str = "[SECRET]") -> DataFrame:
-    """docs with each secret of the text replaced by mask; where spans overlap, the part after the first is cut with it."""
+    """docs with each secret of the text replaced by mask; where spans overlap, the part after the first is cut with it.
+    n_chars, if there is one, follows."""
     columns = docs.columns
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -238,4 +239,7 @@ def redact(docs: DataFrame, rules=RULES, mask: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate("found", start, step, lambda s: F.concat(s["out"], F.call_function("substring", F.col("text"), s["at"] + 1, F.length("text"))))
-    return scan(docs, rules).withColumn("text", F.when(F.size("found") > 0, clean).otherwise(F.col("text"))).select(*columns)
+    out = scan(docs, rules).withColumn("text", F.when(F.size("found") > 0, clean).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*columns)

@@ -217,28 +217,56 @@ def best_threshold(logit: np.ndarray, label: np.ndarray) -> float:
     return float((z[best] + z[best + 1]) / 2) if best + 1 < len(z) else float(z[best] - 0.5)
 
 
+class Scorer:
+    """Scores of texts; the vectors of the words seen so far are kept, CACHE of them at most."""
+
+    def __init__(self, model: ToxicModel):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.pairs, self.vectors = Words(), np.zeros((0, len(SHARES)), np.int64), np.zeros((0, DIM), np.float32)
+
+    def __call__(self, all_texts: list[str]) -> np.ndarray:
+        if not self.model.trained or not all_texts:
+            return np.zeros(len(all_texts))
+        if len(self.words.index) > CACHE:
+            self.clear()
+        tokens, starts, ends = self.words.number(all_texts)
+        if len(self.words.pairs) > len(self.pairs):
+            new = np.array(self.words.pairs[len(self.pairs) :])
+            self.pairs, self.vectors = np.concatenate([self.pairs, new]), np.concatenate([self.vectors, self.model.vectors(new)])
+        lang = self.model.guess(self.pairs[tokens, 0], starts, ends)
+        return 1 / (1 + np.exp(-(self.model.logits(self.vectors[tokens], starts, ends) - self.model.threshold[lang])))
+
+
 def apply(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, held_out, score, predicted."""
-    held: list = []
+    held: list[Scorer] = []
 
     def work(part: pa.RecordBatch) -> dict:
-        if not model.trained:
-            return {"doc_id": part.column("doc_id"), "score": [0.0] * part.num_rows, "predicted": [0] * part.num_rows}
-        if not held or len(held[0].index) > CACHE:
-            held[:] = [Words(), np.zeros((0, len(SHARES)), np.int64), np.zeros((0, DIM), np.float32)]
-        words = held[0]
-        tokens, starts, ends = words.number(texts(part))
-        if len(words.pairs) > len(held[1]):
-            new = np.array(words.pairs[len(held[1]) :])
-            held[1], held[2] = np.concatenate([held[1], new]), np.concatenate([held[2], model.vectors(new)])
-        lang = model.guess(held[1][tokens, 0], starts, ends)
-        score = 1 / (1 + np.exp(-(model.logits(held[2][tokens], starts, ends) - model.threshold[lang])))
+        if not held:
+            held.append(Scorer(model))
+        score = held[0](texts(part))
         return {"doc_id": part.column("doc_id"), "score": score, "predicted": (score >= 0.5).astype(np.int32)}
 
     out = map_texts(docs.select("doc_id", "text"), work, SCHEMA)
     return out.withColumn("held_out", F.coalesce(remainder("doc_id", FOLDS) == HELD_OUT, F.lit(False)))
 
 
+def keep_clean(docs: DataFrame, model: ToxicModel) -> DataFrame:
+    """The rows of docs that are not predicted toxic, all columns."""
+    held: list[Scorer] = []
+
+    def work(part: pa.RecordBatch) -> dict:
+        if not held:
+            held.append(Scorer(model))
+        keep = pa.array(held[0](texts(part)) < 0.5)
+        return {c: part.column(c).filter(keep) for c in part.schema.names}
+
+    return map_texts(docs, work, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = 1200, sample_clean: int = 2000) -> ToxicModel:
     """Train on at most sample_toxic + sample_clean labelled documents that are not held out, whole texts."""
     marked = labels.select("doc_id", "toxic").dropna().dropDuplicates(["doc_id"]).where(remainder("doc_id", FOLDS) != HELD_OUT)
