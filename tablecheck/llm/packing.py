@@ -81,7 +81,7 @@ class Keys:
                 continue
             if len(self.index) > CACHE:
                 self.index.clear()
-            for w in set(words) - self.index.keys():
+            for w in [w for w in set(words) if w not in self.index]:
                 self.index[w] = crc32(w.lower().encode()) % HASHED
             count = np.bincount(np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)), minlength=HASHED)
             weight = np.sqrt(count)  # a word that comes often counts for less than its number
@@ -119,7 +119,7 @@ class Encoder:
         words = [w for w in SPACE.split(text) if w]
         if len(self.known) > CACHE:
             self.known.clear()
-        if new := list(set(words) - self.known.keys()):
+        if new := [w for w in set(words) if w not in self.known]:
             for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
         return b"".join(map(self.known.__getitem__, words))
