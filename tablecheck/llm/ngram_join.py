@@ -65,7 +65,7 @@ class Shingler:
         index = self.index
         if len(index) > CACHE:
             index.clear()
-        for w in set(words) - index.keys():
+        for w in [w for w in set(words) if w not in index]:
             index[w] = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little")
         node = int.from_bytes(blake2b("\n".join(words).encode(), digest_size=8).digest(), "little", signed=True)
         return np.fromiter(map(index.__getitem__, words), np.uint64, len(words)), node
