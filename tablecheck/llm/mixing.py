@@ -64,7 +64,7 @@ def replicate(docs: DataFrame, weights: dict | None = None, total_rows: float |
         joined = keyed.join(F.broadcast(rates), "source_key")
     else:  # a hot source is dealt to many tasks
         salted = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_chars"), F.lit(SALT)))
-        joined = salted.join(rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long")), ["source_key", "salt"])
+        joined = salted.join(rates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))), ["source_key", "salt"])
     u = uniform(seed, "doc_id", "source")
     copies = joined.withColumn("u", u).withColumn("n_copies", F.expr("size(filter(cdf, c -> c < u))"))
     out = copies.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
