@@ -19,29 +19,43 @@ def _plan(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.searchsorted(-by_length, -np.arange(steps), side="left")
 
 
+def _by_step(lens: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each position lies when positions of one step stand together, longest sequence first; where steps start."""
+    rank = np.empty(len(lens), np.int64)
+    rank[np.argsort(-lens, kind="stable")] = np.arange(len(lens))
+    first = np.concatenate([[0], np.cumsum(active)])
+    step = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+    return first[step] + np.repeat(rank, lens), first
+
+
 def forward_backward(em: np.ndarray, lens: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     """Posterior of each label at each position, the log partition summed, expected transition counts."""
-    starts, active = _plan(lens)
+    _, active = _plan(lens)
+    place, first = _by_step(lens, active)
     top = em.max(axis=1, keepdims=True) if len(em) else em[:, :1]
-    w, move, first = np.exp(em - top), np.exp(trans), np.exp(start)
-    alpha, scale = np.empty_like(w), np.empty(len(w), w.dtype)
-    a = None
-    for t, n in enumerate(active):
-        at = starts[:n] + t
-        a = w[at] * first if t == 0 else (a[:n] @ move) * w[at]
+    w, move = np.empty_like(em), np.exp(trans)
+    w[place] = np.exp(em - top)
+    alpha, scale = np.empty_like(w), np.empty(len(w))
+    bounds = first.tolist()
+    a = np.exp(start)[None, :]
+    for t in range(len(active)):
+        lo, hi = bounds[t], bounds[t + 1]
+        a = (a[: hi - lo] @ move if t else a) * w[lo:hi]
         s = a.sum(axis=1)
         a /= s[:, None]
-        alpha[at], scale[at] = a, s
-    post, pairs = alpha, np.zeros_like(move)
-    beta = np.ones((len(starts), em.shape[1]), w.dtype)
+        alpha[lo:hi], scale[lo:hi] = a, s
+    w /= scale[:, None]
+    pairs, back = np.zeros_like(move), move.T.copy()
+    beta = np.ones((int(active[0]) if len(active) else 0, em.shape[1]))
     for t in range(len(active) - 1, -1, -1):
-        n, m = active[t], active[t + 1] if t + 1 < len(active) else 0
-        at = starts[:n] + t
-        if m:
-            ahead = beta[:m] * w[at[:m] + 1] / scale[at[:m] + 1, None]
-            pairs += alpha[at[:m]].T @ ahead
-            beta[:m] = ahead @ move.T
-        post[at] *= beta[:n]  # alpha of this step has been read for the last time
+        lo, hi = bounds[t], bounds[t + 1]
+        if t + 1 < len(active):
+            m = bounds[t + 2] - hi
+            ahead = beta[:m] * w[hi : hi + m]
+            pairs += alpha[lo : lo + m].T @ ahead
+            beta[:m] = ahead @ back
+        alpha[lo:hi] *= beta[: hi - lo]  # alpha of this step has been read for the last time
+    post = alpha[place]
     post /= np.maximum(post.sum(axis=1, keepdims=True), 1e-300)
     return post, float(np.log(scale).sum() + top.sum()), pairs * move
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,27 +26,84 @@ SCHEMA = "doc_id long, lang_pred string, score double, n_letter_words long, n_sw
 FOLDS, HELD_OUT = 4, 2
 BITS = 15
 CACHE = 400_000
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTER = re.compile(r"[^\W\d_]")
+EDGES = " .,;:!?()[]{}<>\"'|*#$%&/+=~^`_-0123456789"
 
 
-def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features of a word; none if it has no letter."""
-    word = "".join(LETTERS.findall(word.lower()))
-    if not word:
-        return []
-    edged = f"^{word}$"
-    names = [f"w={word}"] if len(word) <= 24 else []
-    names += [f"p={word[:k]}" for k in range(1, 5) if len(word) >= k]
-    names += [f"s={word[-k:]}" for k in range(1, 5) if len(word) >= k]
-    names += {f"g={edged[i : i + k]}" for k in (2, 3) for i in range(min(len(edged), 40) - k + 1)}
-    names += [f"lex={lexicon[word]}"] if word in lexicon else []
-    return [crc32(x.encode()) & (1 << BITS) - 1 for x in names]
+def _mixed(x: np.ndarray, kind: int) -> np.ndarray:
+    """A bucket for each hash of a kind of feature."""
+    x = (x ^ np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x >> np.uint64(32)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A hash of each word as a whole."""
+    codes, starts, lens, place = _codes(words)
+    return _whole(codes, starts, place) if len(words) else np.zeros(0, np.uint64)
+
+
+_POWERS = np.cumprod(np.full(64, 0x100000001B3, np.uint64))
+_STEP = np.uint64(0x5851F42D4C957F2D)
+
+
+def _codes(words: list[str]):
+    edged = [f"^{w[:60]}$" for w in words]
+    codes = np.frombuffer("".join(edged).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lens = np.array([len(w) for w in edged], np.int64)
+    starts = np.cumsum(lens) - lens
+    return codes, starts, lens, np.arange(len(codes)) - np.repeat(starts, lens)
+
+
+def _whole(codes, starts, place) -> np.ndarray:
+    return np.add.reduceat((codes + np.uint64(7)) * _POWERS[place], starts)
+
+
+def word_features(words: list[str], lexicon: np.ndarray, lexicon_lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all features of all words, and the word that each belongs to.
+
+    Features are the word, its prefixes and suffixes of one to four letters, its 2- and 3-grams with its edges, and
+    the language whose lexicon holds it. lexicon: sorted hashes of words, with their languages.
+    """
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes, starts, lens, place = _codes(words)
+    owner = np.repeat(np.arange(len(words)), lens)
+    every = np.arange(len(words))
+    whole = _whole(codes, starts, place)
+    ids, owners = [_mixed(whole, 1)], [every]
+    left = lens[owner] - place  # characters from here to the end of the word
+    gram = codes.copy()
+    for k in (2, 3):
+        gram = gram[:-1] * _STEP + codes[k - 1 :]
+        at = np.flatnonzero(left[: len(gram)] >= k)
+        ids.append(_mixed(gram[at], k))
+        owners.append(owner[at])
+    head, tail = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+    for k in range(1, 5):
+        at = np.flatnonzero(lens - 2 >= k)
+        head[at] = head[at] * _STEP + codes[starts[at] + k]
+        tail[at] = tail[at] * _STEP + codes[starts[at] + lens[at] - 1 - k]
+        ids += [_mixed(head[at], 10 + k), _mixed(tail[at], 20 + k)]
+        owners += [at, at]
+    if len(lexicon):
+        near = np.minimum(np.searchsorted(lexicon, whole), len(lexicon) - 1)
+        at = np.flatnonzero(lexicon[near] == whole)
+        ids.append(_mixed(lexicon_lang[near[at]].astype(np.uint64), 30))
+        owners.append(at)
+    return np.concatenate(ids), np.concatenate(owners)
+
+
+def cleaned(word: str) -> str:
+    return word.lower().strip(EDGES)
 
 
 class LanguageModel:
     def __init__(self, langs: list[str], lexicon: dict[str, int]):
         k = len(langs)
-        self.langs, self.lexicon = langs, lexicon
+        self.langs = langs
+        hashes, lang = word_hashes(list(lexicon)), np.array(list(lexicon.values()), np.int64)
+        order = np.argsort(hashes, kind="stable")
+        self.lexicon, self.lexicon_lang = hashes[order], lang[order]
         self.weights, self.trans, self.start = np.zeros((1 << BITS, k)), np.zeros((k, k)), np.zeros(k)
 
     @classmethod
@@ -58,7 +114,7 @@ class LanguageModel:
             if words := (text or "").split():
                 by[lang].append(words)
         langs = sorted(by)
-        often = [Counter("".join(LETTERS.findall(w.lower())) for words in by[x] for w in words) for x in langs]
+        often = [Counter(cleaned(w) for words in by[x] for w in words if LETTER.search(w)) for x in langs]
         lexicon: dict[str, int] = {}
         for k, count in enumerate(often):
             for word, n in count.most_common(per_lexicon):
@@ -81,10 +137,9 @@ class LanguageModel:
                 gold += [k] * len(run)
                 total += len(run)
             lens.append(total)
-        feats = [word_features(w, lexicon) for w in index]
-        sizes = np.array([len(f) for f in feats])
-        ids = np.array([x for f in feats for x in f], np.int64)
-        owner = np.repeat(np.arange(len(feats)), sizes)
+        letter = np.array([LETTER.search(w) is not None for w in index])
+        ids, owner = word_features([cleaned(w) for w in index], model.lexicon, model.lexicon_lang)
+        ids, owner = ids[letter[owner]], owner[letter[owner]]
         tokens, y, n = np.array(flat), np.array(gold), np.array(lens)
         arrays, adam = {"w": model.weights, "t": model.trans, "s": model.start}, Adam(0.05)
 
@@ -92,18 +147,21 @@ class LanguageModel:
             return np.stack([np.bincount(by_row, values[:, k], minlength=rows) for k in range(len(langs))], axis=1)
 
         for _ in range(rounds):
-            word_scores = pooled(model.weights[ids], owner, len(feats))
+            word_scores = pooled(model.weights[ids], owner, len(index))
             _, d_em, d_t, d_s = crf.loss_and_gradient(word_scores[tokens], n, y, model.trans, model.start)
-            d_word = pooled(d_em, tokens, len(feats))
+            d_word = pooled(d_em, tokens, len(index))
             adam.step(arrays, {"w": pooled(d_word[owner], ids, 1 << BITS) + 1e-6 * model.weights, "t": d_t, "s": d_s})
         return model
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of each word and whether it has a letter."""
-        out, letter = np.zeros((len(words), len(self.langs))), np.zeros(len(words), bool)
-        for i, w in enumerate(words):
-            if f := word_features(w, self.lexicon):
-                out[i], letter[i] = self.weights[f].sum(axis=0), True
+        letter = np.array([LETTER.search(w) is not None for w in words], bool)
+        out = np.zeros((len(words), len(self.langs)))
+        for lo in range(0, len(words), 20_000):  # features of so many words are held at a time
+            ids, owner = word_features([cleaned(w) for w in words[lo : lo + 20_000]], self.lexicon, self.lexicon_lang)
+            for k in range(len(self.langs)):
+                part = np.bincount(owner, self.weights[ids, k], minlength=min(20_000, len(words) - lo))
+                out[lo : lo + 20_000, k] = part * letter[lo : lo + 20_000]
         return out, letter
 
 
