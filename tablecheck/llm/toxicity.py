@@ -111,8 +111,8 @@ class ToxicModel:
     # training
 
     @classmethod
-    def train(cls, docs: list[tuple[str, str | None, int]], steps: int = 500, batch: int = 48) -> ToxicModel:
-        """docs: text, language (for the calibration) and label."""
+    def train(cls, docs: list[tuple[str, str | None, int]], steps: int = 500, batch: int = 48, clean_weight: float = 1.0) -> ToxicModel:
+        """docs: text, language (for the calibration) and label; clean_weight: clean rows that each clean one stands for, against toxic ones."""
         model = cls(sorted({d[1] for d in docs if d[1]}))
         label = np.array([d[2] for d in docs])
         if not len(docs) or label.min() == label.max():
@@ -151,7 +151,7 @@ class ToxicModel:
             pick = np.concatenate([rng.choice(p, batch // 2) for p in pool if len(p)])
             model._step(pick, label, tokens, pairs, starts, ends, arrays, adam, squares)
         model.trained = True
-        model._calibrate(docs, np.flatnonzero(hold) if hold.sum() >= 40 else np.arange(n))
+        model._calibrate(docs, np.flatnonzero(hold) if hold.sum() >= 40 else np.arange(n), clean_weight)
         return model
 
     def _step(self, pick, label, tokens, pairs, starts, ends, arrays, adam, squares) -> None:
@@ -192,26 +192,26 @@ class ToxicModel:
             squares[rows] += (g * g).mean(axis=1, keepdims=True)
             self.emb[rows] -= 0.05 * g / np.sqrt(squares[rows])
 
-    def _calibrate(self, docs, rows: np.ndarray) -> None:
+    def _calibrate(self, docs, rows: np.ndarray, clean_weight: float) -> None:
         """For each guessed language the threshold with the best balance of recall and precision; all rows where it has few."""
         words = Words()
         tokens, starts, ends = words.number([docs[i][0] or "" for i in rows])
         pairs = np.array(words.pairs)
         logit, lang = self.logits(self.vectors(pairs)[tokens], starts, ends), self.guess(pairs[tokens, 0], starts, ends)
         label = np.array([docs[i][2] for i in rows])
-        overall = best_threshold(logit, label)
+        overall = best_threshold(logit, label, clean_weight)
         for k in range(len(self.threshold)):
             own = lang == k
             enough = min(label[own].sum(), (1 - label[own]).sum()) >= 8
-            self.threshold[k] = best_threshold(logit[own], label[own]) if enough else overall
+            self.threshold[k] = best_threshold(logit[own], label[own], clean_weight) if enough else overall
 
 
-def best_threshold(logit: np.ndarray, label: np.ndarray) -> float:
-    """The middle of the gap between scores at which F1 is greatest."""
+def best_threshold(logit: np.ndarray, label: np.ndarray, clean_weight: float = 1.0) -> float:
+    """The middle of the gap between scores at which F1 is greatest, in the proportion in which rows come."""
     order = np.argsort(-logit, kind="stable")
     z, y = logit[order], label[order]
     hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + max(1, y.sum()))
+    f1 = 2 * hits / (hits + clean_weight * np.cumsum(1 - y) + max(1, y.sum()))
     f1[np.append(z[:-1] == z[1:], False)] = -1
     best = int(f1.argmax())
     return float((z[best] + z[best + 1]) / 2) if best + 1 < len(z) else float(z[best] - 0.5)
@@ -272,4 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = 1200, sample_cle
     marked = labels.select("doc_id", "toxic").dropna().dropDuplicates(["doc_id"]).where(remainder("doc_id", FOLDS) != HELD_OUT)
     ids = sample_rows(marked.where("toxic = 1"), "doc_id", sample_toxic).union(sample_rows(marked.where("toxic = 0"), "doc_id", sample_clean))
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return ToxicModel.train([(r.text, r.lang, int(r.toxic)) for r in rows])
+    counts = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken = {k: sum(r.toxic == k for r in rows) for k in (0, 1)}
+    weight = counts.get(0, 0) / max(1, taken[0]) / max(1e-9, counts.get(1, 0) / max(1, taken[1])) if taken[0] and taken[1] else 1.0
+    return ToxicModel.train([(r.text, r.lang, int(r.toxic)) for r in rows], clean_weight=weight)
