@@ -11,7 +11,6 @@ teaches a language; a null lang teaches nothing; a null doc_id is not held out;
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -26,7 +25,6 @@ SCHEMA = "doc_id long, lang_pred string, score double, n_letter_words long, n_sw
 FOLDS, HELD_OUT = 4, 2
 BITS = 15
 CACHE = 400_000
-LETTER = re.compile(r"[^\W\d_]")
 EDGES = " .,;:!?()[]{}<>\"'|*#$%&/+=~^`_-0123456789"
 
 
@@ -93,6 +91,10 @@ def word_features(words: list[str], lexicon: np.ndarray, lexicon_lang: np.ndarra
     return np.concatenate(ids), np.concatenate(owners)
 
 
+def has_letter(word: str) -> bool:
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
 def cleaned(word: str) -> str:
     return word.lower().strip(EDGES)
 
@@ -114,7 +116,7 @@ class LanguageModel:
             if words := (text or "").split():
                 by[lang].append(words)
         langs = sorted(by)
-        often = [Counter(cleaned(w) for words in by[x] for w in words if LETTER.search(w)) for x in langs]
+        often = [Counter(cleaned(w) for words in by[x] for w in words if has_letter(w)) for x in langs]
         lexicon: dict[str, int] = {}
         for k, count in enumerate(often):
             for word, n in count.most_common(per_lexicon):
@@ -137,7 +139,7 @@ class LanguageModel:
                 gold += [k] * len(run)
                 total += len(run)
             lens.append(total)
-        letter = np.array([LETTER.search(w) is not None for w in index])
+        letter = np.array([has_letter(w) for w in index])
         ids, owner = word_features([cleaned(w) for w in index], model.lexicon, model.lexicon_lang)
         ids, owner = ids[letter[owner]], owner[letter[owner]]
         tokens, y, n = np.array(flat), np.array(gold), np.array(lens)
@@ -155,7 +157,7 @@ class LanguageModel:
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of each word and whether it has a letter."""
-        letter = np.array([LETTER.search(w) is not None for w in words], bool)
+        letter = np.array([has_letter(w) for w in words], bool)
         out = np.zeros((len(words), len(self.langs)))
         for lo in range(0, len(words), 20_000):  # features of so many words are held at a time
             ids, owner = word_features([cleaned(w) for w in words[lo : lo + 20_000]], self.lexicon, self.lexicon_lang)
