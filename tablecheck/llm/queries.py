@@ -70,4 +70,4 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_redirects": op10_redirects,
 }
-ORACLE_SQL: dict[str, str] = {"op2_poisson_mix": mixing.ORACLE_SQL, "op4_pivot_topk": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_poisson_mix": mixing.ORACLE_SQL, "op4_pivot_topk": topk.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL, "op10_redirects": redirects.ORACLE_SQL}

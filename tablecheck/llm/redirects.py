@@ -88,3 +88,25 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     return placed.join(said, "component", "left").select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.when(known == 1, "allow").otherwise("block").alias("verdict"), "component"
     )
+
+
+#: judge() without component, in DuckDB SQL; links and rules are written out.
+ORACLE_SQL = f"""
+WITH RECURSIVE u AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest,
+  regexp_replace(url, '(?s)^[^:/?#]*://|#.*$', '', 'g') AS bare FROM pages),
+n AS (SELECT page_id, html, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path,
+  lower(regexp_extract(bare, '^[^/?]*')) || regexp_extract(bare, '(?s)^[^/?]*(.*)$', 1) AS node FROM u),
+o AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(node, '[?&](?:{TRACKING})=[^&]*', '', 'g'), '^(?:www|m|amp)\\.', ''), '(?:\\.html?|/)$', '') AS alias,
+  CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+       WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM n),
+l AS (SELECT alias, unnest(list_concat(regexp_extract_all(html, '(?i)<link[^>]*rel=["'']?canonical["'']?[^>]*href=["'']([^"''>]+)', 1), regexp_extract_all(html, '(?i)<link[^>]*href=["'']([^"''>]+)["''][^>]*rel=["'']?canonical', 1),
+  regexp_extract_all(html, '(?i)<meta[^>]*http-equiv=["'']?refresh["'']?[^>]*url=([^"''>\\s]+)', 1))) AS t FROM o),
+t AS (SELECT alias AS a, regexp_replace(t, '(?s)^[^:/?#]*://|#.*$', '', 'g') AS bare FROM l WHERE contains(t, '://')),
+e AS (SELECT a, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')) || regexp_extract(bare, '(?s)^[^/?]*(.*)$', 1), '[?&](?:{TRACKING})=[^&]*', '', 'g'), '^(?:www|m|amp)\\.', ''), '(?:\\.html?|/)$', '') AS b FROM t),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(a, b) AS (SELECT a, a FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a),
+c AS (SELECT a, min(b) AS component FROM r GROUP BY a),
+g AS (SELECT o.*, coalesce(c.component, o.alias) AS component FROM o LEFT JOIN c ON o.alias = c.a),
+v AS (SELECT component, max(CAST(rule IN ('example.net/en/', 'org/fr/') AS INTEGER)) AS allow FROM g WHERE rule IS NOT NULL AND component IS NOT NULL GROUP BY component)
+SELECT page_id, host, path, rule, CASE WHEN coalesce(CAST(rule IN ('example.net/en/', 'org/fr/') AS INTEGER), v.allow, 1) = 1 THEN 'allow' ELSE 'block' END AS verdict FROM g LEFT JOIN v ON g.component = v.component
+"""

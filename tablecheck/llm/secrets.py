@@ -243,3 +243,27 @@ def redact(docs: DataFrame, rules=RULES, mask: str = "[SECRET]") -> DataFrame:
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*columns)
+
+
+def _oracle() -> str:
+    """report() in DuckDB SQL: matches are marked in the text, and places are sums of the lengths between marks."""
+    parts = []
+    for order, r in enumerate(RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, {order} AS k, '{r.kind}' AS kind, {str(r.base).upper()} AS base, start, start + length(m) AS stop FROM ("
+            f"SELECT doc_id, split_part(seg, chr(2), 1) AS m, i, sum(length(replace(seg, chr(2), ''))) OVER (PARTITION BY doc_id ORDER BY i) - length(replace(seg, chr(2), '')) AS start FROM ("
+            f"SELECT doc_id, unnest(segs) AS seg, unnest(range(len(segs))) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '({pattern})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS segs FROM d))) "
+            f"WHERE i > 0 AND length(regexp_extract(m, '{pattern}', {r.group})) >= {r.min_length}"
+        )
+    text = "kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, k"
+    return (
+        "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS (" + " UNION ALL ".join(parts) + f"), g AS (SELECT doc_id, string_agg({text}) AS spans, string_agg({text}) FILTER (WHERE base) AS b, count(*) AS n, "
+        + ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+        + " FROM s GROUP BY doc_id) SELECT d.doc_id, "
+        + ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)
+        + ", sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n, 0) AS n_spans FROM d LEFT JOIN g ON d.doc_id = g.doc_id"
+    )
+
+
+ORACLE_SQL = _oracle()

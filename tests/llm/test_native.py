@@ -165,3 +165,19 @@ def test_hosts_and_rules_by_brute_force(spark):
         assert (r.host, r.path, r.rule) == (host, path, max(fit)[2] if fit else None)
         if fit:
             assert r.verdict == max(fit)[1]
+
+
+def test_oracles_on_planted_rows(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?, ?)", PAGES)
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    want = sorted(map(str, c.execute(redirects.ORACLE_SQL).fetchall()))
+    assert sorted(str(tuple(r)) for r in redirects.judge(df).drop("component").collect()) == want
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    rows = list(enumerate(SAMPLES))
+    c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans")
+    assert sorted(map(tuple, got.collect())) == sorted(c.execute(secrets.ORACLE_SQL).fetchall())
