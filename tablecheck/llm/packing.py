@@ -1,7 +1,7 @@
 """Packing in the order of a space-filling curve.
 
-A document's vector is the sum of its hashed words; projected to three signs-and-sums coordinates, squashed to a grid
-and read along the Hilbert curve it gives a key that keeps similar documents near each other. Documents are dealt to
+A document's vector counts its hashed byte trigrams; projected to three coordinates, squashed to a grid and read along
+the Hilbert curve it gives a key that keeps similar documents near each other. Documents are dealt to
 ranges of that key and sorted, and each range is packed as one stream: documents follow each other with their ids, an
 end id after each, cut wherever a sequence is full. Only the last sequence of a range is padded.
 
@@ -29,8 +29,11 @@ SEQUENCE = 2048
 END = 1
 AXES, ORDER = 3, 10
 HASHED = 4096
-CACHE = 300_000
+CACHE = 600_000
 SPACE = re.compile(r"[ \t\n\v\f\r]+")
+#: Texts of these characters are lower-cased and cut here as the tokenizer does it: no marks that combine, no digits but 0 to 9.
+SIMPLE = re.compile(r"[\t\n\v\f\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]*")
+PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 def hilbert(points: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -66,63 +69,113 @@ def projection() -> np.ndarray:
     return np.random.default_rng(31).standard_normal((HASHED, AXES))
 
 
-class Keys:
-    """Curve keys of texts; word buckets are kept for CACHE words at most."""
-
-    def __init__(self):
-        self.index: dict[str, int] = {}
-        self.project = projection()
-
-    def __call__(self, all_texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(all_texts), AXES))
-        for i, text in enumerate(all_texts):
-            words = text.split()
-            if not words:
-                continue
-            if len(self.index) > CACHE:
-                self.index.clear()
-            for w in [w for w in set(words) if w not in self.index]:
-                self.index[w] = crc32(w.lower().encode()) % HASHED
-            count = np.bincount(np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)), minlength=HASHED)
-            weight = np.sqrt(count)  # a word that comes often counts for less than its number
-            out[i] = weight @ self.project / np.sqrt(count.sum())
-        grid = ((np.tanh(out / 1.5) + 1) / 2 * ((1 << ORDER) - 1)).round().astype(np.int64)
-        return hilbert(np.clip(grid, 0, (1 << ORDER) - 1))
+def curve_keys(all_texts: list[str], project: np.ndarray) -> np.ndarray:
+    """Curve keys of texts; project is projection()."""
+    out = np.zeros((len(all_texts), AXES))
+    for i, text in enumerate(all_texts):
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+        if len(raw) < 3:
+            continue
+        mixed = raw[:-2] * np.uint32(0x9E3779B1) + raw[1:-1] * np.uint32(0x85EBCA77) + raw[2:] * np.uint32(0xC2B2AE3D)
+        count = np.bincount(mixed >> np.uint32(20), minlength=HASHED)
+        # the square root: a trigram that comes often counts for less than its number
+        out[i] = np.sqrt(count) @ project / np.sqrt(len(raw))
+    grid = ((np.tanh(out / 1.5) + 1) / 2 * ((1 << ORDER) - 1)).round().astype(np.int64)
+    return hilbert(np.clip(grid, 0, (1 << ORDER) - 1))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, curve_key."""
-    held: list[Keys] = []
+    project = projection()
 
     def work(part: pa.RecordBatch) -> dict:
-        if not held:
-            held.append(Keys())
-        return {"doc_id": part.column("doc_id"), "text": part.column("text"), "curve_key": held[0](texts(part))}
+        return {"doc_id": part.column("doc_id"), "text": part.column("text"), "curve_key": curve_keys(texts(part), project)}
 
     return map_texts(docs.select("doc_id", "text"), work, "doc_id long, text string, curve_key long")
 
 
+class Known(dict):
+    """Ids of words; a word that is asked for and not known is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.asked: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self.asked.append(word)
+        return b""
+
+
 class Encoder:
-    """Token ids of texts, word by word.
+    """Token ids of texts, piece by piece.
 
-    White space always parts tokens and is dropped by this tokenizer, so the ids of a text are those of its words,
-    which are kept for CACHE words at most.
+    This tokenizer lower-cases, drops white space and never joins tokens over the pieces that it cuts a text into. Words
+    of a text of plain Latin characters are cut the same way here, by PIECE; other words are left to the tokenizer.
+    Ids of words and pieces are kept, CACHE of each at most.
     """
 
     def __init__(self, vocabulary: bytes):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
-        self.known: dict[str, bytes] = {}
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)  # tokens that end a piece
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.pieces: dict[str, bytes] = {}
+        self.simple, self.other = Known(), Known()
 
     def __call__(self, text: str) -> bytes:
-        words = [w for w in SPACE.split(text) if w]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        if new := [w for w in set(words) if w not in self.known]:
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        if SIMPLE.fullmatch(text) and "<|" not in text:
+            words, known = text.lower().split(), self.simple
+        else:
+            words, known = [w for w in SPACE.split(text) if w], self.other
+        out = b"".join(map(known.__getitem__, words))
+        if known.asked:
+            new, known.asked = list(dict.fromkeys(known.asked)), []
+            if known is self.simple:
+                self.add_simple(new)
+            else:
+                self.add_words(new, known)
+            out = b"".join(map(known.__getitem__, words))
+        for kept in (known, self.pieces):
+            if len(kept) > CACHE:
+                kept.clear()
+        return out
+
+    def add_simple(self, new: list[str]) -> None:
+        cut = [PIECE.findall(w) for w in new]
+        if pieces := list(dict.fromkeys([p for parts in cut for p in parts if p not in self.pieces])):
+            self.add_pieces(pieces)
+        for w, parts in zip(new, cut, strict=True):
+            self.simple[w] = b"".join([self.pieces[p] for p in parts])
+
+    def add_words(self, new: list[str], known: dict[str, bytes]) -> None:
+        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def add_pieces(self, new: list[str]) -> None:
+        """All in one text, parted by blanks, and cut where a piece ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(new):
+            self.add_words(new, self.pieces)
+            return
+        raw, lo = ids.tobytes(), 0
+        for w, hi in zip(new, (4 * stops).tolist(), strict=True):
+            self.pieces[w] = raw[lo:hi]
+            lo = hi
+
+
+def encoder(vocabulary: bytes) -> Encoder:
+    """One for each Python process: tasks that follow each other in it share what it has learned."""
+    import sys
+
+    held = sys.__dict__.setdefault("_tablecheck_encoders", {})
+    key = crc32(vocabulary)
+    if key not in held:
+        held.clear()
+        held[key] = Encoder(vocabulary)
+    return held[key]
 
 
 def pack(docs: DataFrame, vocabulary: str, ranges: int | None = None) -> DataFrame:
@@ -138,7 +191,7 @@ def pack(docs: DataFrame, vocabulary: str, ranges: int | None = None) -> DataFra
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = Encoder(words.value)
+        encode = encoder(words.value)
         first = TaskContext.get().partitionId() << 40
         at = 0  # ids of this range so far
         end = np.array([END], "<u4").tobytes()
