@@ -29,6 +29,8 @@ SEQUENCE = 2048
 END = 1
 AXES, ORDER = 3, 10
 HASHED = 4096
+#: Bytes of stored documents that a range takes, where that gives more ranges than there are shuffle partitions.
+RANGE_BYTES = 64 << 20
 CACHE = 600_000
 SPACE = re.compile(r"[ \t\n\v\f\r]+")
 #: Texts of these characters are lower-cased and cut here as the tokenizer does it: no marks that combine, no digits but 0 to 9.
@@ -183,9 +185,10 @@ def pack(docs: DataFrame, vocabulary: str, ranges: int | None = None) -> DataFra
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
         words = spark.sparkContext.broadcast(f.read())
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # written: dealing by range reads its input twice
     rows = written(keyed(docs))
+    stored = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored // RANGE_BYTES))
     dealt = rows.repartitionByRange(n, "curve_key", F.xxhash64("doc_id")).sortWithinPartitions("curve_key", "doc_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
