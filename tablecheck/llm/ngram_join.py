@@ -295,11 +295,12 @@ def _links(docs: DataFrame, threshold: float, trees: int, depth: int) -> tuple[D
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes"), F.first("bits").alias("bits"))
     nodes = written(nodes)
     entries = nodes.select("node", "bits", F.explode("prefixes").alias("prefix"))
-    shared = nodes.select(F.explode("prefixes").alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # sums that are joined by a key that may be hot are written: then both sides are dealt anew and Spark can split them
+    shared = written(nodes.select(F.explode("prefixes").alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     rows = entries.join(shared.select(F.col("prefix").alias("_p"), "size"), F.col("prefix") == F.col("_p")).drop("_p")
     edges = screen(cells(rows, "prefix", "size", SCREEN_BLOCK), trees * depth, threshold).distinct()
     groups = written(connected(edges))
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+    sizes = written(groups.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")))
     members = written(groups.join(sizes, "component").join(nodes.select("node", "doc_id"), "node"))
     ids = members.select(F.col("doc_id").alias("_id"), "node", "component", "nodes")
     side = F.broadcast(ids) if members.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else ids
