@@ -153,41 +153,56 @@ class Pair:
         pair.prior, pair.trained = float(np.log(rate / (1 - rate))), True
         return pair
 
-    def score(self, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Calibrated text, metadata and combined probabilities."""
-        if not self.trained:
-            return tuple(np.full(len(rows), 0.5) for _ in range(3))
-        text = [text_features(r[0] or "") for r in rows]
-        meta = [meta_features(*r[1:5]) for r in rows]
-        a = self.text.calibrated(self.text.logit(np.array([t[0] for t in text]), np.concatenate([t[1] for t in text]), np.array([len(t[1]) for t in text])))
-        b = self.meta.calibrated(self.meta.logit(np.zeros((len(rows), 0)), np.concatenate(meta), np.array([len(m) for m in meta])))
+    def text_logits(self, all_texts: list[str | None]) -> np.ndarray:
+        """Calibrated log-odds of the text view."""
+        if not self.trained or not all_texts:
+            return np.zeros(len(all_texts))
+        text = [text_features(t or "") for t in all_texts]
+        return self.text.calibrated(self.text.logit(np.array([t[0] for t in text]), np.concatenate([t[1] for t in text]), np.array([len(t[1]) for t in text])))
+
+    def combine(self, a: np.ndarray, metadata: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Calibrated text, metadata and combined probabilities, from the text view's log-odds and (source, lang, n_chars, url)."""
+        if not self.trained or not metadata:
+            return tuple(np.full(len(metadata), 0.5) for _ in range(3))
+        meta = [meta_features(*m) for m in metadata]
+        b = self.meta.calibrated(self.meta.logit(np.zeros((len(meta), 0)), np.concatenate(meta), np.array([len(m) for m in meta])))
         both = self.prior + self.text.weight * (a - self.prior) + self.meta.weight * (b - self.prior)
         return tuple(1 / (1 + np.exp(-np.clip(z, -40, 40))) for z in (a, b, both))
 
+    def score(self, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.combine(self.text_logits([r[0] for r in rows]), [tuple(r[1:5]) for r in rows])
+
 
-def with_pages(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """docs with the url of the page that shows them: its path's last number is the document's."""
+def with_pages(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """rows with the url of the page that shows the document: its path's last number is the document's."""
     number = F.regexp_extract(F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1), r"/(\d{1,18})(?:\.html?|/)?$", 1)
-    urls = pages.where(number != "").select(number.cast("long").alias("_page"), "url").groupBy("_page").agg(F.min("url").alias("url"))
-    return docs.select("doc_id", "text", "source", "lang", "n_chars").join(urls, F.col("doc_id") == F.col("_page"), "left").drop("_page")
+    urls = pages.where(number != "").select(number.cast("long").alias("_page"), "url").groupBy("_page").agg(F.min("url").alias("_url"))
+    return rows.join(urls, F.col("doc_id") == F.col("_page"), "left").withColumn("url", F.col("_url")).drop("_page", "_url")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_labelled: int = 2000, sample_open: int = 2000) -> Pair:
-    """Train on at most sample_labelled labelled and sample_open other documents, whole texts; docs as with_pages gives."""
+def fit(docs: DataFrame, pages: DataFrame, labels: DataFrame, sample_labelled: int = 2000, sample_open: int = 2000) -> Pair:
+    """Train on at most sample_labelled labelled and sample_open other documents, whole texts."""
+    docs = docs.select("doc_id", "text", "source", "lang", "n_chars")
     marked = labels.select("doc_id", "quality").dropna().dropDuplicates(["doc_id"])
     known = sample_rows(marked, "doc_id", sample_labelled)
     other = sample_rows(docs.select("doc_id").where("doc_id is not null").join(marked.select("doc_id"), "doc_id", "left_anti"), "doc_id", sample_open)
     ids = known.union(other.select("doc_id", F.lit(None).cast("int").alias("quality")))
-    rows = docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    sample = docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    rows = with_pages(sample, pages).orderBy("doc_id").collect()
     return Pair.train([(r.text, r.source, r.lang, r.n_chars, r.url, r.quality) for r in rows])
 
 
-def apply(docs: DataFrame, pair: Pair, least: float = 0.5) -> DataFrame:
-    """doc_id, text_score, meta_score, score, kept for each row of docs as with_pages gives them."""
+def apply(docs: DataFrame, pages: DataFrame, pair: Pair, least: float = 0.5) -> DataFrame:
+    """doc_id, text_score, meta_score, score, kept for each row of docs. Texts are read where they lie: only scores and metadata meet the pages."""
+
+    def read(part: pa.RecordBatch) -> dict:
+        kept = {c: part.column(c) for c in ("doc_id", "source", "lang", "n_chars")}
+        return kept | {"text_logit": pair.text_logits(part.column("text").to_pylist())}
 
-    def work(part: pa.RecordBatch) -> dict:
-        rows = list(zip(*(part.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars", "url")), strict=True))
-        a, b, both = pair.score(rows)
+    def judge(part: pa.RecordBatch) -> dict:
+        metadata = list(zip(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars", "url")), strict=True))
+        a, b, both = pair.combine(part.column("text_logit").to_numpy(zero_copy_only=False), metadata)
         return {"doc_id": part.column("doc_id"), "text_score": a, "meta_score": b, "score": both, "kept": both >= least}
 
-    return map_texts(docs, work, SCHEMA)
+    logits = map_texts(docs.select("doc_id", "text", "source", "lang", "n_chars"), read, "doc_id long, source string, lang string, n_chars long, text_logit double")
+    return map_texts(with_pages(logits, pages), judge, SCHEMA, column="url")

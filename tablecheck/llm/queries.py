@@ -46,8 +46,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = cotraining.with_pages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
-    return cotraining.apply(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    return cotraining.apply(docs, pages, cotraining.fit(docs, pages, table(spark, sf_dir, "labels")))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

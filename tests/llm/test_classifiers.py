@@ -74,10 +74,9 @@ def test_toxicity_odd_rows(spark):
 
 def test_cotraining(spark):
     docs, labels, pages = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels", "pages"))
-    wide = cotraining.with_pages(docs, pages)
-    assert wide.count() == docs.count()
-    pair = cotraining.fit(wide, labels.where("doc_id % 3 <> 0"))
-    got = cotraining.apply(wide, pair).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
+    assert cotraining.with_pages(docs, pages).count() == docs.count()
+    pair = cotraining.fit(docs, pages, labels.where("doc_id % 3 <> 0"))
+    got = cotraining.apply(docs, pages, pair).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
     assert sum(r.kept == bool(r.quality) for r in got) / len(got) > 0.9
     assert all(0 <= x <= 1 for r in got for x in (r.text_score, r.meta_score, r.score))
 
@@ -99,8 +98,8 @@ def test_cotraining_odd_rows(spark):
     docs, pages = odd_documents(spark), spark.createDataFrame([(1, None, None), (2, "http://x.example/en/9", ""), (3, "http://y.example/en/9.html", None), (4, "nothing", None)], "page_id long, url string, html string")
     wide = cotraining.with_pages(docs, pages)
     assert wide.count() == 14 and {r.url for r in wide.where("doc_id = 9").collect()} == {"http://x.example/en/9"}
-    blank = cotraining.fit(wide, spark.createDataFrame([], "doc_id long, quality int"))
-    assert all(r.kept and r.score == 0.5 for r in cotraining.apply(wide, blank).collect())
-    pair = cotraining.fit(wide, spark.createDataFrame([(1, 1), (5, 0), (6, 0), (8, 1), (9, 1), (7, 0)], "doc_id long, quality int"))
-    assert cotraining.apply(wide, pair).count() == 14
-    assert cotraining.apply(cotraining.with_pages(empty_documents(spark), pages), pair).count() == 0
+    blank = cotraining.fit(docs, pages, spark.createDataFrame([], "doc_id long, quality int"))
+    assert all(r.kept and r.score == 0.5 for r in cotraining.apply(docs, pages, blank).collect())
+    pair = cotraining.fit(docs, pages, spark.createDataFrame([(1, 1), (5, 0), (6, 0), (8, 1), (9, 1), (7, 0)], "doc_id long, quality int"))
+    assert cotraining.apply(docs, pages, pair).count() == 14
+    assert cotraining.apply(empty_documents(spark), pages, pair).count() == 0
