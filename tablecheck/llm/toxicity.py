@@ -135,9 +135,9 @@ class ToxicModel:
         hold = np.zeros(n, bool)
         hold[turn[: n // 4]] = True
         # warm start: the first dimension holds how much likelier a bucket is in toxic documents
-        seen = np.unique(np.stack([np.repeat(doc, len(SHARES)), pairs[tokens[real]].ravel()], axis=1)[np.repeat(~hold[doc], len(SHARES))], axis=0)
-        bad = label[seen[:, 0]] == 1
-        pos, neg = (np.bincount(seen[m, 1], minlength=1 << BITS) for m in (bad, ~bad))
+        pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for d in np.flatnonzero(~hold):  # document by document: all pairs at once would take much memory
+            (pos if label[d] else neg)[np.unique(pairs[tokens[starts[d] : ends[d]]])] += 1
         p, q = (pos + 0.2) / (label[~hold].sum() + 1), (neg + 0.6) / ((1 - label[~hold]).sum() + 1)
         model.emb[:, 0] = np.where(pos + neg >= 4, np.clip(np.log(p / q), -2, 3), 0)
         for w in WIDTHS:
