@@ -3,7 +3,8 @@
 Explicit rules judge a page by host suffix and path prefix. Pages that redirect or point to each other (meta refresh,
 `rel="canonical"`) and spellings of one address (scheme, `www.`, `m.`, tracking parameters, fragment, final slash or
 `.html`) are equivalent: distributed connected components over those edges carry a block to all aliases. An explicit
-allow anywhere in a component takes precedence over a block there; a page's own rule always decides for itself.
+allow anywhere in a component takes precedence over a block there; a page's own rule always decides for itself. Rules
+are applied to link targets as well, whether or not they are rows.
 
 Defined cases: a null url, or one without `://`, has empty host and path and no rule; a null html has no edges; a page
 without any rule in its component is allowed; repeated rows give repeated results; extra columns are ignored.
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .components import connected
 
 #: Action, host, path.
@@ -74,15 +76,21 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         .withColumn("_alias", F.xxhash64(canonical_of("_node")))
     )
     # spellings of one address meet in one node; only pages that point elsewhere need components
-    target = F.xxhash64(canonical_of("_t"))
-    edges = own.where((F.size("_links") > 0) & F.col("_alias").isNotNull()).select("_alias", F.explode("_links").alias("_l")).where(F.col("_l").contains("://"))
-    edges = edges.select("_alias", node_of("_l").alias("_t")).select(F.col("_alias").alias("a"), target.alias("b")).where("a <> b").distinct()
-    groups = connected(edges).select(F.col("node").alias("_alias"), F.col("component").alias("_group"))
+    aimed = own.where((F.size("_links") > 0) & F.col("_alias").isNotNull()).select("_alias", F.explode("_links").alias("_u")).where(F.col("_u").contains("://"))
+    aimed = aimed.select("_alias", host_of(F.col("_u")).alias("_host"), path_of(F.col("_u")).alias("_path"), node_of("_u").alias("_t"))
+    aimed = aimed.select(F.col("_alias").alias("a"), F.xxhash64(canonical_of("_t")).alias("b"), rule_of("_host", "_path", rules)["allow"].alias("allow"))
+    aimed = written(aimed.distinct())
+    groups = connected(aimed.select("a", "b")).select(F.col("node").alias("_alias"), F.col("component").alias("_group"))
     placed = own.drop("_links", "_node").join(groups, "_alias", "left").withColumn("component", F.coalesce("_group", "_alias"))
+    # a target has a say even if it is no row; one row for each target, so that a hub is joined once
+    targets = aimed.where("allow is not null").groupBy(F.col("b").alias("_alias")).agg(F.max("allow").alias("_allow"))
+    targets = targets.join(groups, "_alias", "left").select(F.coalesce("_group", "_alias").alias("component"), "_allow")
     said = (
         placed.where(F.col("_rule").isNotNull() & F.col("component").isNotNull())
+        .select("component", F.col("_rule.allow").alias("_allow"))
+        .union(targets)
         .groupBy("component")
-        .agg(F.max("_rule.allow").alias("_allow"))
+        .agg(F.max("_allow").alias("_allow"))
     )
     known = F.when(F.col("_rule").isNotNull(), F.col("_rule.allow")).otherwise(F.coalesce(F.col("_allow"), F.lit(1)))
     return placed.join(said, "component", "left").select(

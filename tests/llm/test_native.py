@@ -155,6 +155,18 @@ def test_verdicts(spark):
     assert redirects.judge(df).count() == len(PAGES) and redirects.judge(df.limit(0)).count() == 0
 
 
+def test_rules_reach_link_targets_that_are_no_rows(spark):
+    rows = [
+        (1, "http://a.example.com/en/1", '<link rel="canonical" href="http://spam.net/x">'), (2, "http://b.example.com/en/2", '<meta http-equiv="refresh" content="0; url=http://www.spam.net/x.html">'),
+        (3, "http://c.example.com/de/", ""), (4, "http://d.example.com/en/4", '<link rel="canonical" href="http://c.example.com/de/"><link rel="canonical" href="http://k.org/fr/y">'),
+        (5, "http://e.example.com/en/5", '<link rel="canonical" href="http://c.example.com/de/">'), (6, "http://example.com/de", '<link rel="canonical" href="http://example.com/de/">'), (7, "http://f.example.com/en/7", '<link rel="canonical" href="http://no.rule/">'),
+        (8, "http://g.example.com/en/8", '<link rel="canonical" href="http://other.net/z">'), (9, "http://h.example.com/en/9", '<link rel="canonical" href="http://other.net/z"><link rel="canonical" href="http://l.org/fr/">'),
+    ]
+    got = {r.page_id: r for r in redirects.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {1, 2, 3, 6}  # an allow at k.org frees 4 and 5, one at l.org 8 and 9
+    assert got[1].component == got[2].component and all(got[i].rule is None for i in (1, 2, 4, 5, 6, 7, 8, 9))
+
+
 def test_hosts_and_rules_by_brute_force(spark):
     pages = spark.read.parquet(f"{SF01}/pages.parquet")
     for r in redirects.judge(pages).join(pages.select("page_id", "url"), "page_id").collect():
