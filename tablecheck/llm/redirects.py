@@ -4,7 +4,8 @@ Explicit rules judge a page by host suffix and path prefix. Pages that redirect
 `rel="canonical"`) and spellings of one address (scheme, `www.`, `m.`, tracking parameters, fragment, final slash or
 `.html`) are equivalent: distributed connected components over those edges carry a block to all aliases. An explicit
 allow anywhere in a component takes precedence over a block there; a page's own rule always decides for itself. Rules
-are applied to link targets as well, whether or not they are rows.
+are applied to link targets as well, whether or not they are rows. Relative targets are resolved against the first
+`<base>` of the page, or its url; targets of other kinds (`mailto:`) are no pages.
 
 Defined cases: a null url, or one without `://`, has empty host and path and no rule; a null html has no edges; a page
 without any rule in its component is allowed; repeated rows give repeated results; extra columns are ignored.
@@ -22,6 +23,10 @@ from .components import connected
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Query parameters that do not change what an address shows.
 TRACKING = "utm_[a-z]+|gclid|fbclid|ref"
+#: Tags that hold links or the address they start from; an attribute in any quotes or none; what comes before a refresh's target.
+TAG = r"""(?i)<(?:link|meta|base)(?=[\s/"'])(?:[^>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+"""
+ATTRIBUTE = r"""[^\s"'<>/=]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|["'][^"'>]*+|[^\s"'>][^\s>]*+)"""
+REFRESH = r"(?is)^\s*(?:[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?|url\s*=\s*)(\S.*)$"
 
 
 def host_of(url: Column) -> Column:
@@ -47,12 +52,57 @@ def canonical_of(node: str) -> Column:
     return F.regexp_replace(text, r"(?:\.html?|/)$", "")
 
 
-def links(html: str) -> Column:
-    """Targets of canonical links and of meta refreshes."""
-    canonical = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)<link[^>]*rel=["']?canonical["']?[^>]*href=["']([^"'>]+)"""), F.lit(1))
-    other = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)<link[^>]*href=["']([^"'>]+)["'][^>]*rel=["']?canonical"""), F.lit(1))
-    refresh = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)<meta[^>]*http-equiv=["']?refresh["']?[^>]*url=([^"'>\s]+)"""), F.lit(1))
-    return F.array_distinct(F.concat(canonical, other, refresh))
+def value_of(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name, without quotes; null if it has none."""
+    first = F.get(F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda x: x.rlike(rf"(?i)^{name}\s*=")), F.lit(0))
+    return unquoted(F.regexp_replace(first, r"^[^=]*=\s*", ""))
+
+
+def unquoted(text: Column) -> Column:
+    return F.regexp_replace(text, r"""(?s)^(?:"([^"]*).*|'([^']*).*)$""", "$1$2")
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The absolute address of a link on a page at base; null if it names no page."""
+    to = F.regexp_replace(F.regexp_replace(target, r"[\t\r\n]", ""), r"^ +| +$", "")
+    scheme, site = F.regexp_extract(base, r"^([^:/?#]*:)//", 1), F.regexp_extract(base, r"^[^:/?#]*://[^/?#]*", 0)
+    path = F.regexp_extract(base, r"(?s)^[^:/?#]*://[^/?#]*([^?#]*)", 1)
+    path = F.when(path == "", "/").otherwise(path)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    tail = F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    inside = F.regexp_extract(to, r"^[^?#]*", 0)
+    return (
+        F.when(to.rlike(r"^[^:/?#]+://"), to)
+        .when((to == "") | to.startswith("#") | to.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") | (site == ""), None)
+        .when(to.startswith("//"), F.concat(scheme, to))
+        .when(to.startswith("/"), F.concat(site, without_dots(inside), tail))
+        .when(to.startswith("?"), F.concat(site, path, to))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, inside)), tail))
+    )
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path with its `.` and `..` steps taken."""
+    steps = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    taken = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(taken, "/"))).otherwise(path)
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """_alias, _u (absolute target) for each canonical link and meta refresh of pages (_alias, _url, _html)."""
+    tags = F.regexp_extract_all(F.col("_html"), F.lit(TAG), F.lit(0))
+    rows = pages.where(F.col("_html").rlike("(?i)canonical|refresh")).select("_alias", "_url", tags.alias("_tags"))
+    base = F.get(F.filter(F.transform(F.filter("_tags", lambda t: t.rlike("(?i)^<base")), lambda t: value_of(t, "href")), lambda x: x.isNotNull()), F.lit(0))
+    rows = rows.select("_alias", "_url", base.alias("_base"), F.explode("_tags").alias("_tag")).where(F.col("_tag").rlike("(?i)canonical|refresh"))
+    tag = F.col("_tag")
+    refresh = F.when(F.lower(F.trim(value_of(tag, "http-equiv"))) == "refresh", unquoted(F.regexp_extract(value_of(tag, "content"), REFRESH, 1)))
+    canonical = F.when(value_of(tag, "rel").rlike(r"(?i)(?:^|\s)canonical(?:[\s/]|$)"), value_of(tag, "href"))
+    rows = rows.select("_alias", F.coalesce(resolved(F.col("_base"), F.col("_url")), "_url").alias("_from"), F.when(tag.rlike("(?i)^<meta"), refresh).when(tag.rlike("(?i)^<link"), canonical).alias("_to"))
+    return rows.select("_alias", resolved(F.col("_to"), F.col("_from")).alias("_u")).where("_u is not null")
 
 
 def rule_of(host: str, path: str, rules=RULES) -> Column:
@@ -70,18 +120,18 @@ def rule_of(host: str, path: str, rules=RULES) -> Column:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, component for each row of pages (page_id, url, html)."""
     own = (
-        pages.select("page_id", F.col("url").alias("_u"), links("html").alias("_links"))
-        .select("page_id", host_of(F.col("_u")).alias("host"), path_of(F.col("_u")).alias("path"), node_of("_u").alias("_node"), "_links")
+        pages.select("page_id", F.col("url").alias("_u"), F.col("html").alias("_html"))
+        .select("page_id", host_of(F.col("_u")).alias("host"), path_of(F.col("_u")).alias("path"), node_of("_u").alias("_node"), F.col("_u").alias("_url"), "_html")
         .withColumn("_rule", rule_of("host", "path", rules))
         .withColumn("_alias", F.xxhash64(canonical_of("_node")))
     )
     # spellings of one address meet in one node; only pages that point elsewhere need components
-    aimed = own.where((F.size("_links") > 0) & F.col("_alias").isNotNull()).select("_alias", F.explode("_links").alias("_u")).where(F.col("_u").contains("://"))
+    aimed = links(own.where(F.col("_alias").isNotNull()).select("_alias", "_url", "_html"))
     aimed = aimed.select("_alias", host_of(F.col("_u")).alias("_host"), path_of(F.col("_u")).alias("_path"), node_of("_u").alias("_t"))
     aimed = aimed.select(F.col("_alias").alias("a"), F.xxhash64(canonical_of("_t")).alias("b"), rule_of("_host", "_path", rules)["allow"].alias("allow"))
     aimed = written(aimed.distinct())
     groups = connected(aimed.select("a", "b")).select(F.col("node").alias("_alias"), F.col("component").alias("_group"))
-    placed = own.drop("_links", "_node").join(groups, "_alias", "left").withColumn("component", F.coalesce("_group", "_alias"))
+    placed = own.drop("_node", "_url", "_html").join(groups, "_alias", "left").withColumn("component", F.coalesce("_group", "_alias"))
     # a target has a say even if it is no row; one row for each target, so that a hub is joined once
     targets = aimed.where("allow is not null").groupBy(F.col("b").alias("_alias")).agg(F.max("allow").alias("_allow"))
     targets = targets.join(groups, "_alias", "left").select(F.coalesce("_group", "_alias").alias("component"), "_allow")

@@ -167,6 +167,34 @@ def test_rules_reach_link_targets_that_are_no_rows(spark):
     assert got[1].component == got[2].component and all(got[i].rule is None for i in (1, 2, 4, 5, 6, 7, 8, 9))
 
 
+ADDRESSES = ("de/x", "./x", "../x", "../../../x/.", "/x", "//spam.net/x", "?y=1", "http://spam.net/x", " /a/./b/../c?d=/../e#f ", "..", "x.html#y")
+
+
+@pytest.mark.parametrize("page", ["http://a.example.com/en/q/1?r=/s", "https://b.example.com"])
+def test_relative_targets_as_urljoin(spark, page):
+    from urllib.parse import urljoin
+
+    df = spark.createDataFrame([(x, page) for x in ADDRESSES], "x string, page string")
+    for r in df.select("x", redirects.resolved(F.col("x"), F.col("page")).alias("u")).collect():
+        assert r.u == urljoin(page if page.count("/") > 2 else page + "/", r.x.strip()), r.x
+    odd = spark.createDataFrame([(x, page) for x in ("mailto:a@b.net", "javascript:x()", "", "#top", None)], "x string, page string")
+    assert odd.where(redirects.resolved(F.col("x"), F.col("page")).isNotNull()).count() == 0
+
+
+LINKS = {
+    '<link rel=canonical href=http://spam.net/x>': 1, "<link href='//spam.net/x' rel='canonical'/>": 1, '<LINK\nREL = "alternate canonical" title="a > b" HREF = "http://spam.net/x" >': 1, '<link rel="canonical" href="http://spam.net/x>\n<p class="y">': 1,
+    """<meta http-equiv="refresh" content="0; url='http://spam.net/x'">""": 1, '<meta content="5;URL=http://spam.net/x" http-equiv=refresh>': 1, "<meta content='0, url = \"//spam.net/x\"' http-equiv='Refresh'>": 1, "<meta http-equiv=refresh content=0;url=http://spam.net/x>": 1,
+    '<base href="//spam.net/y/"><link rel="canonical" href="../x">': 1, '<link rel="stylesheet" href="http://spam.net/x">': 0, '<link rel="canonical" data-href="http://spam.net/x">': 0, '<meta http-equiv="refresh" content="30">': 0, '<link rel="canonical" href="mailto:a@spam.net">': 0,
+}
+
+
+def test_forms_of_links(spark):
+    rows = [(i, f"http://p{i}.example.com/en/", html) for i, html in enumerate(LINKS)]
+    rows += [(100, "http://q.example.com/en/1", '<meta http-equiv="refresh" content="0; url=/de/x">'), (101, "http://r.example.com/en/1", '<link rel="canonical" href="../de/x">')]
+    got = {r.page_id: r.verdict for r in redirects.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {html: int(got[i] == "block") for i, html in enumerate(LINKS)} == LINKS and got[100] == got[101] == "block"
+
+
 def test_hosts_and_rules_by_brute_force(spark):
     pages = spark.read.parquet(f"{SF01}/pages.parquet")
     for r in redirects.judge(pages).join(pages.select("page_id", "url"), "page_id").collect():
