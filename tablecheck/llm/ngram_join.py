@@ -119,12 +119,12 @@ class Forest:
 
 
 def sign(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """doc_id, node, prefixes, bits for each row with words and a doc_id."""
+    """doc_id, node, prefixes, bits for each row with a doc_id; all but doc_id are null for a text without words."""
     forest, held = Forest(trees, depth), []
 
     def work(part: pa.RecordBatch) -> dict:
         shingler = held[0] if held else held.append(Shingler()) or held[0]
-        ids, nodes, grams, sizes = [], [], [], []
+        ids, nodes, grams, sizes, alone = [], [], [], [], []
         for doc_id, text in zip(part.column("doc_id").to_pylist(), texts(part), strict=True):
             words, node = shingler.words(text)
             if node is not None:
@@ -132,8 +132,8 @@ def sign(docs: DataFrame, trees: int, depth: int) -> DataFrame:
                 nodes.append(node)
                 grams.append(shingler.grams(words))
                 sizes.append(len(grams[-1]))
-        if not ids:
-            return {"doc_id": [], "node": [], "prefixes": [], "bits": []}
+            else:
+                alone.append(doc_id)
         prefixes, bits, lo = [], [], 0
         while lo < len(ids):  # so much at a time as a processor's cache holds
             hi, total = lo, 0
@@ -145,7 +145,8 @@ def sign(docs: DataFrame, trees: int, depth: int) -> DataFrame:
             prefixes += forest.prefixes(least).tolist()
             bits += forest.bits(least).tolist()
             lo = hi
-        return {"doc_id": ids, "node": nodes, "prefixes": prefixes, "bits": bits}
+        none = [None] * len(alone)
+        return {"doc_id": ids + alone, "node": nodes + none, "prefixes": prefixes + none, "bits": bits + none}
 
     return map_texts(docs.where("doc_id is not null").select("doc_id", "text"), work, "doc_id long, node long, prefixes array<long>, bits array<long>")
 
@@ -292,7 +293,7 @@ def _verified(out: list[list]) -> pa.RecordBatch:
 def _links(docs: DataFrame, threshold: float, trees: int, depth: int) -> tuple[DataFrame, DataFrame, float]:
     """doc_id, node; the verified rows; the recall estimated from them."""
     signed = written(sign(docs, trees, depth))
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes"), F.first("bits").alias("bits"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes"), F.first("bits").alias("bits"))
     nodes = written(nodes)
     entries = nodes.select("node", "bits", F.explode("prefixes").alias("prefix"))
     # sums that are joined by a key that may be hot are written: then both sides are dealt anew and Spark can split them
@@ -329,8 +330,8 @@ def join(docs: DataFrame, threshold: float = 0.8, trees: int = 24, depth: int =
     least = written(placed.groupBy("root").agg(F.min("doc_id").alias("class_id")))
     classes = written(placed.join(least, "root").select(F.col("node").alias("_node"), "class_id", "links", "copies"))
     named = signed.join(classes, F.col("node") == F.col("_node")).select("doc_id", "class_id", F.col("links").alias("n_links"), F.col("copies").alias("n_copies"))
-    # rows that took no part: no doc_id, or no words
-    alone = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)\w"))
+    # rows that took no part: no doc_id, or no words as sign() found
+    alone = docs.where("doc_id is null").select("doc_id").union(signed.where("node is null").select("doc_id"))
     return named.union(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long"), F.lit(1).cast("long")))
 
 

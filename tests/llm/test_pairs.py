@@ -97,6 +97,12 @@ def test_depth_meets_the_target():
     assert ngram_join.first_depth(0.99, 24, 0.9, 8) == 8 and ngram_join.first_depth(0.1, 2, 0.999, 8) == 1
 
 
+def test_one_row_for_each_text_of_marks_or_numerals(spark):
+    rows = [(1, "\u2764\ufe0f"), (2, "\U0001f468\u200d\U0001f469"), (3, "\u0301"), (4, "\u203f"), (5, "\u00bd"), (6, "\u00b2"), (7, "\u00bd"), (8, "..."), (None, "\u00bd"), (None, "\ufe0f"), (1, "\u2764\ufe0f")]
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links, r.n_copies) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, 0, 1), (0, 0, 0, 1), (1, 1, 0, 1), (1, 1, 0, 1), (2, 2, 0, 1), (3, 3, 0, 1), (4, 4, 0, 1), (5, 5, 0, 2), (6, 6, 0, 1), (7, 5, 0, 2), (8, 8, 0, 1)]
+
+
 def test_near_copies_odd_rows(spark):
     rows = ngram_join.join(odd_documents(spark)).collect()
     assert len(rows) == 14 and {(r.class_id, r.n_copies) for r in rows if r.doc_id == 9} == {(9, 2)}
