@@ -2,7 +2,7 @@
 
 A linear-chain CRF labels each word: affix, character n-gram and lexicon features give a word's scores, learned
 transitions tie neighbours, and forward-backward gives posteriors. A document takes the language with the largest
-posterior mass over its words that have a letter. Training runs in numpy on a bounded sample (`sample_docs`) of
+posterior mass over its words that have a letter; a word of any length counts with all its characters. Training runs in numpy on a bounded sample (`sample_docs`) of
 documents that are not held out; sequences with switches are spliced from runs of words of several documents.
 
 Defined cases: a null text and a text without a letter give `und` with score 0; so does every text when no document
@@ -40,12 +40,12 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return _whole(codes, starts, place) if len(words) else np.zeros(0, np.uint64)
 
 
-_POWERS = np.cumprod(np.full(64, 0x100000001B3, np.uint64))
+_BASE = np.uint64(0x100000001B3)
 _STEP = np.uint64(0x5851F42D4C957F2D)
 
 
 def _codes(words: list[str]):
-    edged = [f"^{w[:60]}$" for w in words]
+    edged = [f"^{w}$" for w in words]
     codes = np.frombuffer("".join(edged).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     lens = np.array([len(w) for w in edged], np.int64)
     starts = np.cumsum(lens) - lens
@@ -53,7 +53,8 @@ def _codes(words: list[str]):
 
 
 def _whole(codes, starts, place) -> np.ndarray:
-    return np.add.reduceat((codes + np.uint64(7)) * _POWERS[place], starts)
+    powers = np.cumprod(np.full(int(place.max()) + 1, _BASE, np.uint64))
+    return np.add.reduceat((codes + np.uint64(7)) * powers[place], starts)
 
 
 def word_features(words: list[str], lexicon: np.ndarray, lexicon_lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,11 +160,16 @@ class LanguageModel:
         """Scores of each word and whether it has a letter."""
         letter = np.array([has_letter(w) for w in words], bool)
         out = np.zeros((len(words), len(self.langs)))
-        for lo in range(0, len(words), 20_000):  # features of so many words are held at a time
-            ids, owner = word_features([cleaned(w) for w in words[lo : lo + 20_000]], self.lexicon, self.lexicon_lang)
+        lo = 0
+        while lo < len(words):  # features of so many words or characters are held at a time; a longer word stands alone
+            hi, total = lo, 0
+            while hi < len(words) and (hi == lo or hi - lo < 20_000 and total + len(words[hi]) <= 1_200_000):
+                total += len(words[hi])
+                hi += 1
+            ids, owner = word_features([cleaned(w) for w in words[lo:hi]], self.lexicon, self.lexicon_lang)
             for k in range(len(self.langs)):
-                part = np.bincount(owner, self.weights[ids, k], minlength=min(20_000, len(words) - lo))
-                out[lo : lo + 20_000, k] = part * letter[lo : lo + 20_000]
+                out[lo:hi, k] = np.bincount(owner, self.weights[ids, k], minlength=hi - lo) * letter[lo:hi]
+            lo = hi
         return out, letter
 
 

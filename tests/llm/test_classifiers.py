@@ -22,6 +22,19 @@ def test_code_switched_words():
     assert names == ["de", "de", "und", "und"] and share[1] < share[0] and turns[1] >= 1 and turns[0] == 0 and total[2] == 0
 
 
+def test_long_words_count_whole():
+    rng = random.Random(4)
+    model = language.LanguageModel.train([(prose(rng, lang, 80), lang) for lang in ("en", "de", "fr") for _ in range(30)], sequences=300)
+    joined = {lang: "".join(prose(rng, lang, 3000).split()) for lang in ("en", "de", "fr")}
+    tokens = [joined["en"][:70] + joined["de"], joined["de"][:70] + joined["fr"], joined["fr"][:70] + joined["en"]]
+    names, _, total, _ = language.Scorer(model)(tokens)
+    assert names == ["de", "fr", "en"] and total.tolist() == [1, 1, 1]
+    a, b = "x" * 100 + "a", "x" * 100 + "b"
+    assert len(set(language.word_hashes([a, b]).tolist())) == 2
+    words = [a, "the", "y" * 3_000_000, "ein", b]
+    assert np.allclose(model.word_scores(words)[0], np.concatenate([model.word_scores([w])[0] for w in words]))
+
+
 def test_language_odd_rows(spark):
     docs = odd_documents(spark)
     rows = language.apply(docs, language.fit(docs)).collect()
