@@ -1,11 +1,10 @@
-"""Join of near copies: word 5-gram Jaccard similarity of 0.8 or more, by a MinHash LSH forest.
+"""Join of near copies: word 5-gram Jaccard similarity of 0.8 or more, by banded MinHash LSH.
 
 Words are lower-cased runs of word characters; texts with the same words are one node and are compared once. Each node
-gets a signature for every tree of the forest; a tree is the sorted trie of those signatures, and nodes that share a
-prefix are candidates. Prefixes start at the depth whose modelled recall at the threshold meets the target and are
-shortened by one value as long as the recall estimated from the links found (each weighted by the inverse of its
-chance to be found) is below the target. Candidates are screened with 1-bit signatures, connected, and all pairs
-of a connected group are verified exactly on their whole sets of 5-grams.
+gets a signature for every band ("tree"), hashed to one key; nodes that share a key are candidates. The bands have one
+fixed depth, at which the modelled recall at the threshold meets the target; this is no LSH forest, as the recall
+estimate over the links found cannot fall below the target and so never shortens it. Candidates are screened with
+1-bit signatures, connected, and all pairs of a connected group are verified exactly on their whole sets of 5-grams.
 
 Large prefixes and large groups are dealt out as a grid of blocks, so no task holds more than two blocks; pairs are
 counted inside the tasks and never written out, and every link is counted.
