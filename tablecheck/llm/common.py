@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows for each core up to which a table in few files is dealt out.
+DEAL_ROWS = 20_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A plain table, dealt to all cores if it has fewer files than cores and few rows; larger tables are read where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.count() <= DEAL_ROWS * cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -37,14 +47,23 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table that written() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    base = f"{shared_dir(spark)}/tables/"
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/tables/" in name and name.rpartition("/")[0].rstrip("/").endswith(base.rstrip("/").rpartition("://")[2]):
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables that written() made, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        base = f"{shared_dir(spark)}/tables/".rpartition("://")[2].rstrip("/")
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/tables/" in name and name.rpartition("/")[0].rstrip("/").endswith(base):
+                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A name like that one which none of the columns has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def remainder(column: str, n: int):

@@ -6,56 +6,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cotraining, language, mixing, ngram_join, packing, quality_lines, redirects, secrets, topk, toxicity
-from .common import table
+from .common import dealt, table
 
 
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     return quality_lines.apply(docs, quality_lines.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.replicate(table(spark, sf_dir, "documents"))
+    rows = mixing.replicate(dealt(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "source", "copy", "n_copies", F.md5("text").alias("text_md5"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     scored = toxicity.apply(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
 def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return topk.search(dealt(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
 
 
 def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(dealt(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     scored = language.apply(docs, language.fit(docs))
     return scored.select("doc_id", "held_out", "lang_pred", "score", "n_letter_words", "n_switches")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"))
+    return ngram_join.join(dealt(table(spark, sf_dir, "documents")))
 
 
 def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    docs, pages = dealt(table(spark, sf_dir, "documents")), dealt(table(spark, sf_dir, "pages"))
     return cotraining.apply(docs, pages, cotraining.fit(docs, pages, table(spark, sf_dir, "labels")))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"))
+    return secrets.report(dealt(table(spark, sf_dir, "documents")))
 
 
 def op10_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redirects.judge(table(spark, sf_dir, "pages")).drop("component")
+    return redirects.judge(dealt(table(spark, sf_dir, "pages"))).drop("component")
 
 
 QUERIES = {
