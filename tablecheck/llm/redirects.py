@@ -5,10 +5,12 @@ Explicit rules judge a page by host suffix and path prefix. Pages that redirect
 `.html`) are equivalent: distributed connected components over those edges carry a block to all aliases. An explicit
 allow anywhere in a component takes precedence over a block there; a page's own rule always decides for itself. Rules
 are applied to link targets as well, whether or not they are rows. Relative targets are resolved against the first
-`<base>` of the page, or its url; targets of other kinds (`mailto:`) are no pages.
+`<base>` of the page, or its url; targets of other kinds (`mailto:`) are no pages. Entities (`&amp;`, `&#38;`) in targets are read
+as HTML reads them, as far as addresses need them.
 
-Defined cases: a null url, or one without `://`, has empty host and path and no rule; a null html has no edges; a page
-without any rule in its component is allowed; repeated rows give repeated results; extra columns are ignored.
+Defined cases: a null url, or one without `://`, has empty host and path and no rule; a null html has no edges; html of any
+length is read whole; a page without any rule in its component is allowed; repeated rows give repeated results; rows that
+share a page_id are judged each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +49,9 @@ def node_of(url: str) -> Column:
 
 def canonical_of(node: str) -> Column:
     """One spelling for all spellings of an address."""
-    text = F.regexp_replace(F.col(node), rf"[?&](?:{TRACKING})=[^&]*", "")
+    query = F.regexp_replace(F.concat(F.lit("&"), F.regexp_extract(F.col(node), r"(?s)^[^?]*\?(.*)$", 1)), f"&(?:{TRACKING})=[^&]*", "")
+    query = F.regexp_replace(F.regexp_replace(query, "&{2,}", "&"), "^&|&$", "")
+    text = F.concat(F.regexp_extract(F.col(node), r"^[^?]*", 0), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
     text = F.regexp_replace(text, r"^(?:www|m|amp)\.", "")
     return F.regexp_replace(text, r"(?:\.html?|/)$", "")
 
@@ -58,6 +62,17 @@ def value_of(tag: Column, name: str) -> Column:
     return unquoted(F.regexp_replace(first, r"^[^=]*=\s*", ""))
 
 
+#: Entities that stand for characters of addresses, as names and code points.
+ENTITIES = (("quot", 34), ("apos", 39), ("sol", 47), ("colon", 58), ("equals", 61), ("quest", 63), ("period", 46), ("num", 35), ("amp", 38))
+
+
+def without_entities(text: Column) -> Column:
+    """Entities of the characters above turned into them; that of the ampersand last, so that nothing is read twice."""
+    for name, code in ENTITIES:
+        text = F.regexp_replace(text, f"&(?:{name}|#0*{code}|#[xX]0*(?i:{code:x}));", "\\" + chr(code))
+    return text
+
+
 def unquoted(text: Column) -> Column:
     return F.regexp_replace(text, r"""(?s)^(?:"([^"]*).*|'([^']*).*)$""", "$1$2")
 
@@ -102,7 +117,7 @@ def links(pages: DataFrame) -> DataFrame:
     refresh = F.when(F.lower(F.trim(value_of(tag, "http-equiv"))) == "refresh", unquoted(F.regexp_extract(value_of(tag, "content"), REFRESH, 1)))
     canonical = F.when(value_of(tag, "rel").rlike(r"(?i)(?:^|\s)canonical(?:[\s/]|$)"), value_of(tag, "href"))
     rows = rows.select("_alias", F.coalesce(resolved(F.col("_base"), F.col("_url")), "_url").alias("_from"), F.when(tag.rlike("(?i)^<meta"), refresh).when(tag.rlike("(?i)^<link"), canonical).alias("_to"))
-    return rows.select("_alias", resolved(F.col("_to"), F.col("_from")).alias("_u")).where("_u is not null")
+    return rows.select("_alias", resolved(without_entities(F.col("_to")), F.col("_from")).alias("_u")).where("_u is not null")
 
 
 def rule_of(host: str, path: str, rules=RULES) -> Column:
@@ -123,19 +138,20 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         pages.select("page_id", F.col("url").alias("_u"), F.col("html").alias("_html"))
         .select("page_id", host_of(F.col("_u")).alias("host"), path_of(F.col("_u")).alias("path"), node_of("_u").alias("_node"), F.col("_u").alias("_url"), "_html")
         .withColumn("_rule", rule_of("host", "path", rules))
-        .withColumn("_alias", F.xxhash64(canonical_of("_node")))
+        .withColumn("_alias", F.md5(canonical_of("_node")))
     )
     # spellings of one address meet in one node; only pages that point elsewhere need components
     aimed = links(own.where(F.col("_alias").isNotNull()).select("_alias", "_url", "_html"))
     aimed = aimed.select("_alias", host_of(F.col("_u")).alias("_host"), path_of(F.col("_u")).alias("_path"), node_of("_u").alias("_t"))
-    aimed = aimed.select(F.col("_alias").alias("a"), F.xxhash64(canonical_of("_t")).alias("b"), rule_of("_host", "_path", rules)["allow"].alias("allow"))
+    aimed = aimed.select(F.col("_alias").alias("a"), F.md5(canonical_of("_t")).alias("b"), rule_of("_host", "_path", rules)["allow"].alias("allow"))
     aimed = written(aimed.distinct())
     groups = connected(aimed.select("a", "b")).select(F.col("node").alias("_alias"), F.col("component").alias("_group"))
     placed = own.drop("_node", "_url", "_html").join(groups, "_alias", "left").withColumn("component", F.coalesce("_group", "_alias"))
     # a target has a say even if it is no row; one row for each target, so that a hub is joined once
     targets = aimed.where("allow is not null").groupBy(F.col("b").alias("_alias")).agg(F.max("allow").alias("_allow"))
     targets = targets.join(groups, "_alias", "left").select(F.coalesce("_group", "_alias").alias("component"), "_allow")
-    said = (
+    # (written, so that both sides of the join are dealt anew and a hot component's rows can be split)
+    said = written(
         placed.where(F.col("_rule").isNotNull() & F.col("component").isNotNull())
         .select("component", F.col("_rule.allow").alias("_allow"))
         .union(targets)
@@ -148,19 +164,25 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
-#: judge() without component, in DuckDB SQL; links and rules are written out.
+#: One spelling of an address x: its address and its parameters apart.
+_PARAMETERS = "list_filter(string_split(substr({x}, instr({x}, '?') + 1), '&'), lambda p: p <> '' AND NOT regexp_full_match(p, '(utm_[a-z]+|gclid|fbclid|ref)=.*'))"
+_SPELLING = (
+    "regexp_replace(regexp_replace(CASE WHEN instr({x}, '?') = 0 THEN {x} WHEN len(" + _PARAMETERS + ") = 0 THEN split_part({x}, '?', 1) "
+    "ELSE split_part({x}, '?', 1) || '?' || array_to_string(" + _PARAMETERS + ", '&') END, '^(?:www|m|amp)\\.', ''), '(?:\\.html?|/)$', '')"
+)
+#: judge() without component, in DuckDB SQL; rules are written out, tracking parameters are dropped from a list, and links are absolute targets in plain forms.
 ORACLE_SQL = f"""
 WITH RECURSIVE u AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest,
   regexp_replace(url, '(?s)^[^:/?#]*://|#.*$', '', 'g') AS bare FROM pages),
 n AS (SELECT page_id, html, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path,
   lower(regexp_extract(bare, '^[^/?]*')) || regexp_extract(bare, '(?s)^[^/?]*(.*)$', 1) AS node FROM u),
-o AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(node, '[?&](?:{TRACKING})=[^&]*', '', 'g'), '^(?:www|m|amp)\\.', ''), '(?:\\.html?|/)$', '') AS alias,
+o AS (SELECT *, {_SPELLING.format(x='node')} AS alias,
   CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
        WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM n),
 l AS (SELECT alias, unnest(list_concat(regexp_extract_all(html, '(?i)<link[^>]*rel=["'']?canonical["'']?[^>]*href=["'']([^"''>]+)', 1), regexp_extract_all(html, '(?i)<link[^>]*href=["'']([^"''>]+)["''][^>]*rel=["'']?canonical', 1),
   regexp_extract_all(html, '(?i)<meta[^>]*http-equiv=["'']?refresh["'']?[^>]*url=([^"''>\\s]+)', 1))) AS t FROM o),
-t AS (SELECT alias AS a, regexp_replace(t, '(?s)^[^:/?#]*://|#.*$', '', 'g') AS bare FROM l WHERE contains(t, '://')),
-e AS (SELECT a, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')) || regexp_extract(bare, '(?s)^[^/?]*(.*)$', 1), '[?&](?:{TRACKING})=[^&]*', '', 'g'), '^(?:www|m|amp)\\.', ''), '(?:\\.html?|/)$', '') AS b FROM t),
+t AS (SELECT a, lower(regexp_extract(bare, '^[^/?]*')) || regexp_extract(bare, '(?s)^[^/?]*(.*)$', 1) AS node FROM (SELECT alias AS a, regexp_replace(t, '(?s)^[^:/?#]*://|#.*$', '', 'g') AS bare FROM l WHERE contains(t, '://'))),
+e AS (SELECT a, {_SPELLING.format(x='node')} AS b FROM t),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(a, b) AS (SELECT a, a FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a),
 c AS (SELECT a, min(b) AS component FROM r GROUP BY a),
