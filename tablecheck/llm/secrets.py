@@ -6,8 +6,10 @@ is written to the shared folder; postings are intersected document by document,
 rule's query are verified with its expression. Rules without mandatory trigrams scan every text. Everything is a
 DataFrame expression.
 
-Defined cases: a null text counts as empty; an empty text has no spans; repeated rows give repeated results; a null
-doc_id is scanned by every rule; extra columns are ignored.
+Defined cases: a null text counts as empty; an empty text has no spans; a text of any length is scanned whole, in time
+that grows with it; repeated rows give repeated results; rows that share a doc_id share their candidates; a null doc_id is
+scanned by every rule; an empty table gives an empty result; extra columns of any name are kept by scan and redact and
+left out by report. A rule's expression must not match the control characters U+0001 to U+0003.
 """
 
 from __future__ import annotations
@@ -19,12 +21,18 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .arrays import BLOCK, bound, literal, running
+from .common import forget, unused, written
 
 #: So many candidate documents at most are broadcast to the texts; more are joined by key.
 MAX_BROADCAST_ROWS = 200_000
 #: Strings that a part of an expression may stand for, at most, before it counts as anything.
 MAX_STRINGS, MAX_ALTERNATIVES = 48, 64
+#: Marks around matches, and what stands for such a character of a text meanwhile.
+OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
+#: Characters of a part of a text.
+PART = 4096
+NO_SPANS = "cast(array() as array<struct<start:int,end:int,size:int>>)"
 
 
 @dataclass(frozen=True)
@@ -164,45 +172,43 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     return held.select("doc_id", F.array_compact(F.array(*kinds)).alias("rules")).where(F.size("rules") > 0)
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """Spans of the matches of a rule, leftmost first and not overlapping: start, end in code points.
+def spans_of(text: str, rule: Rule) -> Column:
+    """Spans of the matches of a rule in a column, leftmost first and not overlapping: start, end in code points, size of the group.
 
-    A match is where its string next occurs: an earlier occurrence would have been an earlier match.
+    Matches are marked, the text is split at the marks, and places are running sums of the lengths of the parts.
     """
     pattern = rule.pattern
     if rule.group == 0 and pattern.endswith("]+") and rule.kind == "hex":
         pattern = pattern[:-1] + "{%d,}" % rule.min_length  # a run is a match as a whole
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,size:int>>").alias("out"))
-
-    def step(state: Column, match: Column) -> Column:
-        at = F.call_function("locate", match, text, state["at"] + 1) - 1
-        size = F.length(F.regexp_extract(match, pattern, rule.group)) if rule.group else F.length(match)
-        end = at + F.length(match)
-        return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(at.alias("start"), end.alias("end"), size.alias("size"))).alias("out"))
-
-    spans = F.aggregate(found, start, step, lambda s: s["out"])
-    return F.filter(spans, lambda s: s["size"] >= rule.min_length)
-
-
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """The columns of docs, with found: an array of (start, order, end, kind), sorted."""
+    marked = f"regexp_replace(translate(`{text}`, {literal(OPEN + CLOSE)}, {literal(OTHER * 2)}), {literal(pattern)}, {literal(OPEN + '$0' + CLOSE)})"
+    parts = f"split({marked}, {literal(OPEN)})"
+    starts = running("transform(_p, (x, i) -> length(x) - if(i = 0, 0, 1))")
+    match = f"substring_index(element_at(_p, k), {literal(CLOSE)}, 1)"
+    size = f"length(regexp_extract(_m, {literal(pattern)}, {rule.group}))" if rule.group else "length(_m)"
+    span = bound(match, "_m", f"named_struct('start', element_at(_s, k), 'end', element_at(_s, k) + length(_m), 'size', {size})")
+    every = f"if(size(_p) < 2, {NO_SPANS}, transform(sequence(2, size(_p)), k -> {span}))"
+    found = f"filter({bound(parts, '_p', bound(starts, '_s', every))}, x -> x.size >= {rule.min_length})"
+    return F.when(F.col(text).rlike(pattern), F.expr(found)).otherwise(F.expr(NO_SPANS))
+
+
+def scan(docs: DataFrame, rules=RULES, name: str = "found") -> DataFrame:
+    """The columns of docs, with name: an array of (start, order, end, kind), sorted."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     trigrams = sorted({t for q in queries.values() if q for part in q for t in part})
-    index = written(build_index(docs, trigrams))
-    hits = written(candidates(index, rules).withColumnRenamed("doc_id", "_id").withColumnRenamed("rules", "_rules"))
+    own, asked, text = (unused(docs.columns, x) for x in ("candidate", "asked", "scanned"))
+    index = written(build_index(docs.select("doc_id", "text"), trigrams))
+    hits = written(candidates(index, rules).select(F.col("doc_id").alias(own), F.col("rules").alias(asked)))
+    forget(index)
     side = F.broadcast(hits) if hits.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else hits
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.join(side, F.col("doc_id") == F.col("_id"), "left").withColumn("_text", text)
-    none = F.array().cast("array<struct<start:int,end:int,size:int>>")
+    joined = docs.join(side, F.col("doc_id") == F.col(own), "left").withColumn(text, F.coalesce(F.col("text"), F.lit("")))
     parts = []
     for order, rule in enumerate(rules):
-        spans = spans_of(F.col("_text"), rule)
+        spans = spans_of(text, rule)
         if queries[rule.kind] is not None:
-            asked = F.col("doc_id").isNull() | F.coalesce(F.array_contains("_rules", rule.kind), F.lit(False))
-            spans = F.when(asked, spans).otherwise(none)
+            wanted = F.col("doc_id").isNull() | F.coalesce(F.array_contains(asked, rule.kind), F.lit(False))
+            spans = F.when(wanted, spans).otherwise(F.expr(NO_SPANS))
         parts.append(_named(spans, order, rule.kind))
-    return joined.withColumn("found", F.array_sort(F.concat(*parts))).drop("_id", "_rules", "_text")
+    return joined.withColumn(name, F.array_sort(F.concat(*parts))).drop(own, asked, text)
 
 
 def _named(spans: Column, order: int, kind: str) -> Column:
@@ -228,20 +234,25 @@ def report(docs: DataFrame, rules=RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules=RULES, mask: str = "[SECRET]") -> DataFrame:
     """docs with each secret of the text replaced by mask; where spans overlap, the part after the first is cut with it.
-    n_chars, if there is one, follows."""
-    columns = docs.columns
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        lead = F.concat(F.call_function("substring", F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.lit(mask))
-        fresh = s["start"] >= state["at"]
-        out = F.concat(state["out"], F.when(fresh, lead).otherwise(F.lit("")))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+    n_chars, if there is one, follows.
 
-    clean = F.aggregate("found", start, step, lambda s: F.concat(s["out"], F.call_function("substring", F.col("text"), s["at"] + 1, F.length("text"))))
-    out = scan(docs, rules).withColumn("text", F.when(F.size("found") > 0, clean).otherwise(F.col("text")))
+    What stays is a list of gaps between spans, gathered in blocks as in running(); a gap is cut from a part of the text.
+    """
+    columns = docs.columns
+    found, gaps = unused(columns, "found"), unused(columns, "gaps")
+    gap = "if(s.start >= x.at, array_append(x.out, named_struct('from', x.at, 'to', s.start)), x.out)"
+    inner = f"aggregate(slice(`{found}`, k * {BLOCK} + 1, {BLOCK}), named_struct('at', y.at, 'out', cast(array() as array<struct<from:int,to:int>>)), (x, s) -> named_struct('at', greatest(x.at, s.end), 'out', {gap}))"
+    step = bound(inner, "_i", "named_struct('at', _i.at, 'out', array_append(y.out, _i.out))")
+    start = "named_struct('at', 0, 'out', cast(array() as array<array<struct<from:int,to:int>>>))"
+    last = "array(array(named_struct('from', y.at, 'to', length(text))))"
+    all_gaps = f"aggregate(sequence(0, cast(ceil(size(`{found}`) / {BLOCK}) as int) - 1), {start}, (y, k) -> {step}, y -> flatten(concat(y.out, {last})))"
+    part = f"slice(_t, g.from div {PART} + 1, greatest(g.to - 1, g.from) div {PART} - g.from div {PART} + 1)"
+    piece = f"substring(array_join({part}, ''), g.from % {PART} + 1, g.to - g.from)"
+    pieces = bound(f"regexp_extract_all(text, {literal('(?s).{1,%d}' % PART)}, 0)", "_t", f"array_join(transform(`{gaps}`, g -> {piece}), {literal(mask)})")
+    some = F.size(found) > 0
+    out = scan(docs, rules, found).withColumn(gaps, F.when(some, F.expr(all_gaps))).withColumn("text", F.when(some, F.expr(pieces)).otherwise(F.col("text")))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*columns)
 
 
