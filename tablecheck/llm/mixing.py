@@ -5,9 +5,9 @@ The number of copies of a document is the Poisson distribution of that mean, inv
 of seed and document gives, so a rerun makes the same copies. Copies are exploded and shuffled globally by hash.
 
 Weights come as a map from source to weight; sources that it lacks get weight 1 (None: all are equal). Defined cases:
-a null source is a source of its own with weight 1 (or that of the key None in the map); a null doc_id or text hashes
-as a word of its own; repeated rows get the same number of copies; a weight of 0 drops the source; an empty table gives an empty
-result; extra columns are ignored by name.
+a null source is a source of its own with weight 1 (or that of the key None in the map); a row without doc_id draws by
+its text; repeated rows get the same number of copies; texts are neither read nor cut, but for the shuffle's hash; a weight of 0 drops
+the source; an empty table gives an empty result; extra columns are ignored by name.
 """
 
 from __future__ import annotations
@@ -15,29 +15,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS
+from .arrays import running
+from .common import DOCUMENT_COLUMNS, written
 
-#: So many sources at most are broadcast with their cumulative probabilities; more are joined by key.
-MAX_BROADCAST_SOURCES = 2000
+#: So many cumulative probabilities of all sources at most are broadcast; more are joined by key.
+MAX_BROADCAST_VALUES = 1_000_000
 #: Parts that a source's rows are dealt to where sources are joined by key.
 SALT = 64
 NO_SOURCE = "\u0000none"
 
 
-def uniform(seed: int, *columns: str) -> Column:
-    """A number in (0, 1) from the first 52 bits of an MD5."""
-    text = F.concat_ws("\u0001", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000none")) for c in columns])
-    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+def uniform(seed: int, doc_id: str, source: str, text: str) -> Column:
+    """A number in (0, 1) from the first 52 bits of an MD5; the text decides where there is no doc_id."""
+    none = F.lit(NO_SOURCE)
+    who = F.coalesce(F.col(doc_id).cast("string"), F.concat(none, F.md5(F.coalesce(F.col(text), none))))
+    key = F.concat_ws("\u0001", F.lit(str(seed)), who, F.coalesce(F.col(source), none))
+    return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def poisson_cdf(rate: str) -> Column:
     """P(X <= k) for k = 0, 1, … as an array, as far as the tail is below the least uniform number."""
     steps = f"cast(ceil({rate} + 12 * sqrt({rate}) + 40) as int)"
-    logs = f"""aggregate(sequence(1, {steps}), named_struct('p', -{rate}, 'all', array(-{rate})),
-        (s, k) -> named_struct('p', s.p + ln({rate}) - ln(k), 'all', array_append(s.all, s.p + ln({rate}) - ln(k))), s -> s.all)"""
-    sums = f"""aggregate({logs}, named_struct('c', cast(0 as double), 'all', cast(array() as array<double>)),
-        (s, l) -> named_struct('c', s.c + exp(l), 'all', array_append(s.all, s.c + exp(l))), s -> s.all)"""
-    return F.expr(f"CASE WHEN {rate} > 0 THEN {sums} ELSE cast(array(1) as array<double>) END")
+    # running() leaves out the element itself, so the element after it ends each sum
+    logs = running(f"concat(array(-{rate}), transform(sequence(1, {steps}), k -> ln({rate}) - ln(k)), array(0D))", "double")
+    sums = running(f"concat(transform(slice({logs}, 2, {steps} + 1), x -> exp(x)), array(0D))", "double")
+    return F.expr(f"CASE WHEN {rate} > 0 THEN slice({sums}, 2, {steps} + 1) ELSE cast(array(1) as array<double>) END")
 
 
 def source_rates(docs: DataFrame, weights: dict | None, total_rows: float | None) -> DataFrame:
@@ -57,18 +59,19 @@ def source_rates(docs: DataFrame, weights: dict | None, total_rows: float | None
 def replicate(docs: DataFrame, weights: dict | None = None, total_rows: float | None = None, seed: int = 20) -> DataFrame:
     """The columns of documents, with copy (from 1), n_copies, rate and shuffle_key; total_rows None keeps the size of docs."""
     docs = docs.select(*DOCUMENT_COLUMNS)
-    rates = source_rates(docs, weights, total_rows).withColumn("cdf", poisson_cdf("rate")).drop("rows").persist()
-    few = rates.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
+    rates = written(source_rates(docs, weights, total_rows).withColumn("cdf", poisson_cdf("rate")).drop("rows"))
+    few = (rates.agg(F.sum(F.size("cdf")).alias("n")).first().n or 0) <= MAX_BROADCAST_VALUES
     keyed = docs.withColumn("source_key", F.coalesce(F.col("source"), F.lit(NO_SOURCE)))
     if few:
         joined = keyed.join(F.broadcast(rates), "source_key")
     else:  # a hot source is dealt to many tasks
-        salted = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_chars"), F.lit(SALT)))
+        salted = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_chars", "text"), F.lit(SALT)))
         joined = salted.join(rates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))), ["source_key", "salt"])
-    u = uniform(seed, "doc_id", "source")
-    copies = joined.withColumn("u", u).withColumn("n_copies", F.expr("size(filter(cdf, c -> c < u))"))
+    copies = joined.withColumn("u", uniform(seed, "doc_id", "source", "text")).withColumn("n_copies", F.expr("size(filter(cdf, c -> c < u))"))
     out = copies.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    shuffled = out.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "doc_id", "copy"))
+    # rows without doc_id may be many and alike: they are dealt one by one
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    shuffled = out.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "doc_id", "copy", "text", place))
     return shuffled.select(*DOCUMENT_COLUMNS, "copy", "n_copies", "rate", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 

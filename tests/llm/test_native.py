@@ -40,10 +40,22 @@ def test_cdf_by_brute_force(spark):
 def test_mixing_joins_many_sources(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "t", "en", f"s{i % 50}", 1) for i in range(500)], DOCS)
     want = sorted((r.doc_id, r.copy) for r in mixing.replicate(docs).collect())
-    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 3)
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_VALUES", 3)
     assert sorted((r.doc_id, r.copy) for r in mixing.replicate(docs).collect()) == want
 
 
+def test_rows_without_an_id_draw_each(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "en", "a", 1) for i in range(400)] + [(None, None, None, None, None)] * 3, DOCS)
+    rows = mixing.replicate(docs, total_rows=800).collect()
+    assert len({r.n_copies for r in rows if r.source == "a"}) > 3 and len({r.shuffle_key for r in rows}) == len(rows)
+
+
+def test_large_rates(spark):
+    out = mixing.replicate(spark.createDataFrame([(1, "t", "en", "a", 1), (2, "u", "en", "a", 1)], DOCS), total_rows=20_000)
+    n = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert all(abs(x - 10_000) < 500 for x in n.values()) and len(n) == 2
+
+
 def test_mixing_odd_rows(spark):
     out = mixing.replicate(odd_documents(spark), total_rows=200)
     assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "copy", "n_copies", "rate", "shuffle_key"} and out.where("source is null").count() > 0
@@ -104,6 +116,43 @@ def test_redaction(spark):
     assert got[1].text == "a [SECRET] b" and got[1].n_chars == 12 and got[2].text == "clean" and got[3].text is None and got[3].n_chars is None
 
 
+def brute_redaction(text, mask="[SECRET]"):
+    out, at = "", 0
+    for start, _, end, _ in brute_spans(text):
+        if start >= at:
+            out += text[at:start] + mask
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_many_secrets_in_one_text(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"🙂token={rng.randbytes(8).hex()}{'z' * (k % 3)}" for k in range(n)) + tail for n, tail in ((1, ""), (255, ""), (256, " end"), (257, ""), (3000, "\x01é\x02 secret=abcdefghijklmnop"))]
+    texts += ["a" * 4095 + "deadbeefdeadbeef", "b" * 5000 + "é" * 5000 + "deadbeefdeadbeef" + "x" * 9000]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS).selectExpr("*", "1 as _id", "2 as _rules", "'mine' as found", "3 as gaps", "4 as scanned", "5 as candidate", "6 as asked", "7 as _p")
+    spans = {r.doc_id: r.spans for r in secrets.report(df).collect()}
+    clean = secrets.redact(df)
+    assert clean.columns == df.columns
+    for r in clean.collect():
+        assert spans[r.doc_id] == ",".join(f"{k}:{s}:{e}" for s, _, e, k in brute_spans(texts[r.doc_id]))
+        assert r.text == brute_redaction(texts[r.doc_id]) and r.n_chars == len(r.text) and r.found == "mine" and r._id == 1
+    assert secrets.scan(df, name="mine").columns == [*df.columns, "mine"]
+
+
+def test_time_grows_with_the_text(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, " ".join(f"{i:016x}" for i in range(n)), "en", "s", 1)], DOCS)
+        secrets.redact(df).count()
+        began = time.perf_counter()
+        assert secrets.redact(df).first().text.count("[SECRET]") == n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(16_000) < 10
+
+
 def test_secrets_odd_rows(spark):
     rows = secrets.report(odd_documents(spark)).collect()
     assert len(rows) == 14 and all(r.spans == "" for r in rows if r.doc_id in (2, 3, 4))
@@ -167,6 +216,23 @@ def test_rules_reach_link_targets_that_are_no_rows(spark):
     assert got[1].component == got[2].component and all(got[i].rule is None for i in (1, 2, 4, 5, 6, 7, 8, 9))
 
 
+def test_spellings_of_parameters(spark):
+    same = ["http://a.b/p?id=1", "http://a.b/p?utm_source=x&id=1", "https://www.a.b/p?id=1&utm_medium=y#z", "http://m.a.b/p?gclid=1&id=1&fbclid=2", "http://a.b/p?id=1&&ref=q"]
+    other = ["http://a.b/p", "http://a.b/p?id=2", "http://a.b/p?xref=1&id=1", "http://a.b/p?id=1&refs=1"]
+    df = spark.createDataFrame([(i, u, "") for i, u in enumerate(same + other)], "page_id long, url string, html string")
+    got = {r.page_id: r.component for r in redirects.judge(df).collect()}
+    assert len({got[i] for i in range(len(same))}) == 1 and len(set(got.values())) == 1 + len(other)
+    bare = spark.createDataFrame([(1, "http://a.b/p?utm_source=x", ""), (2, "http://a.b/p", ""), (3, "http://a.b/p.html?", "")], "page_id long, url string, html string")
+    assert redirects.judge(bare).select("component").distinct().count() == 1
+
+
+def test_entities_in_targets(spark):
+    page = '<link rel="canonical" href="http://c.example.com/q?a=1&amp;b=2"><base href="">'
+    rows = [(1, "http://x.example.com/1", page), (2, "http://c.example.com/q?a=1&b=2", '<meta http-equiv="refresh" content="0;url=http:&#47;&#x2F;spam.net&sol;x">'), (3, "http://y.example.com/2", '<link rel="canonical" href="http://z.org/&amp;amp;">')]
+    got = {r.page_id: r for r in redirects.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].component == got[2].component and got[1].verdict == got[2].verdict == "block" and got[3].verdict == "allow"
+
+
 ADDRESSES = ("de/x", "./x", "../x", "../../../x/.", "/x", "//spam.net/x", "?y=1", "http://spam.net/x", " /a/./b/../c?d=/../e#f ", "..", "x.html#y")
 
 
@@ -217,6 +283,11 @@ def test_oracles_on_planted_rows(spark):
     want = sorted(map(str, c.execute(redirects.ORACLE_SQL).fetchall()))
     assert sorted(str(tuple(r)) for r in redirects.judge(df).drop("component").collect()) == want
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    pages = [(i, u, "") for i, u in enumerate(("http://a.net/p?utm_source=x&id=1", "http://a.net/p?id=1", "http://b.c/p?id=1&&ref=q", "http://b.c/p?ref=1", "http://b.c/p/", "http://b.c/p?", None))]
+    c.execute("DELETE FROM pages")
+    c.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    got = redirects.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).drop("component")
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, c.execute(redirects.ORACLE_SQL).fetchall()))
     rows = list(enumerate(SAMPLES))
     c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     got = secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans")
