@@ -103,6 +103,69 @@ def test_one_row_for_each_text_of_marks_or_numerals(spark):
     assert got == [(0, 0, 0, 1), (0, 0, 0, 1), (1, 1, 0, 1), (1, 1, 0, 1), (2, 2, 0, 1), (3, 3, 0, 1), (4, 4, 0, 1), (5, 5, 0, 2), (6, 6, 0, 1), (7, 5, 0, 2), (8, 8, 0, 1)]
 
 
+def test_words_and_grams_by_plain_code(monkeypatch):
+    import re
+
+    monkeypatch.setattr(ngram_join, "STRETCH", 50)
+    rng = random.Random(3)
+    texts = ["", " ", "a", "one two three four five", "One, two three FOUR five six", "x " * 200, "y" * 300 + " z", "ß É_x 1½ 😀z İ", *(prose(rng, "de", 30) for _ in range(20))]
+    shingler = ngram_join.Shingler()
+    (hashes, n, nodes), (grams, k, _) = shingler.words(texts), shingler.grams(texts)
+    words = [re.findall(r"\w+", t.lower()) for t in texts]
+    want = [[tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else [] for w in words]
+    assert n.tolist() == [len(w) for w in words] and k.tolist() == [len(g) for g in want]
+    for values, names in ((hashes, sum(words, [])), (grams, sum(want, []))):
+        assert len({*zip(values.tolist(), names, strict=True)}) == len(set(values.tolist())) == len(set(names))
+    assert [x is None for x in nodes] == [not w for w in words] and len({x for x in nodes if x}) == len({tuple(w) for w in words if w})
+
+
+def test_estimate_by_capture():
+    counts = lambda *rows: np.array(rows, float)
+    assert ngram_join.enough(counts((9, 9, 9), (0, 0, 0), (0, 0, 0)), 0.999) is None
+    assert ngram_join.enough(counts((990, 990, 981), (0, 0, 0), (5000, 5000, 5000)), 0.999)
+    assert not ngram_join.enough(counts((700, 700, 490), (0, 0, 0), (9000, 9000, 9000)), 0.999)  # one bin lacks links
+    assert ngram_join.missed(700, 700, 490) == (910, 90) and ngram_join.missed(5, 0, 0) == (5, 5)
+    told = ngram_join.captures(np.array([[3, 0, 2, 8], [0, 1, 0, 0]]), np.array([0.8, 0.99]), 8, 0.8, 2.0)
+    assert told[0].tolist() == [[2, 2, 2], [0, 0, 0], [2, 0, 0]] and told[2].tolist() == [[2, 2, 2], [0, 0, 0], [0, 0, 0]] and told[7].sum() == 2
+
+
+@pytest.mark.parametrize("few_links", [True, False])
+def test_prefixes_are_shortened_until_links_are_found(spark, monkeypatch, few_links):
+    """Links just above the threshold: few trees miss them at long prefixes, and the estimate tells."""
+    rng, rows = random.Random(8), []
+    for g in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        other = base[:95] + [f"v{rng.randrange(10**6)}" for _ in range(9)]  # 91 of 109 grams: 0.83
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    seen, real = [], ngram_join.enough
+    monkeypatch.setattr(ngram_join, "enough", lambda counts, target: seen.append(real(counts, target)) or seen[-1])
+    monkeypatch.setattr(ngram_join, "BIN_LINKS", 10_000 if few_links else 50)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), trees=8, depth=8, target=0.99).collect()
+    linked = sum(r.n_links == 1 for r in got)
+    assert linked >= 0.97 * len(rows) and all(r.class_id == r.doc_id // 2 * 2 for r in got if r.n_links)
+    assert (seen == [None, None]) if few_links else (seen[0] is False and len(seen) > 2)
+
+
+def test_all_links_of_two_thousand_documents(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    near = near_rows(60, 12, 11, 90, 4) + near_rows(250, 2, 12, 60, 1)
+    docs = docs.union(spark.createDataFrame([(10_000 + i, t) for i, (_, t) in enumerate(near)], "doc_id long, text string"))
+    assert docs.count() > 2000
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in ngram_join.join(docs).collect()}
+    want = brute_links([(r.doc_id, r.text) for r in docs.collect()])
+    lost = sum(want[i][1] - got[i][1] for i in want)
+    assert set(got) == set(want) and 0 <= lost <= 0.001 * sum(w[1] for w in want.values()) and all(got[i][2] == want[i][2] for i in want)
+
+
+def test_one_of_each_decides_by_text(spark):
+    a, b, c = (prose(random.Random(i), "en", 50) for i in range(3))
+    rows = [(1, a, "x"), (5, a + " more", "x"), (5, b, "x"), (6, b + " tail", "x"), (7, None, "x"), (7, c, "x"), (8, c, "x"), (None, a, "x"), (9, "...", "x"), (9, "...", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _node string").selectExpr("*", "1 as doc", "2 as node", "3 as other")
+    kept = ngram_join.one_of_each(df)
+    got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()))
+    assert kept.columns == df.columns and got == sorted([(0, a), (1, a), (5, b), (7, ""), (7, c), (9, "..."), (9, "...")])
+
+
 def test_near_copies_odd_rows(spark):
     rows = ngram_join.join(odd_documents(spark)).collect()
     assert len(rows) == 14 and {(r.class_id, r.n_copies) for r in rows if r.doc_id == 9} == {(9, 2)}
@@ -138,13 +201,33 @@ def test_topk_by_brute_force(spark, monkeypatch, blocks):
     assert got == brute_top(rows)
 
 
-def test_bounds_cut_work():
+def test_repeated_ids_each_take_part(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [0.0, 1.0])]
+    got = sorted(map(tuple, topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()))
+    full, half = [(0, 128 * 256), (7, 256 * 256), (7, 256 * 256), (8, 0)], [(0, 128 * 256), (7, 128 * 256), (7, 128 * 256), (8, 0)]
+    order = lambda found: [(0, r + 1, i, s) for r, (i, s) in enumerate(sorted(found, key=lambda x: (-x[1], x[0])))]
+    assert got == sorted(order(full) + order(half))
+
+
+def test_large_values_are_exact_and_lengths_must_agree(spark):
+    rows = [(0, [2.0**26, 1.0 / 256]), (1, [2.0**26, 3.0 / 256]), (2, [2.0**26, 2.0 / 256])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2**68 % 2**64 + 3), (2, 2**68 % 2**64 + 2)] or [(r.vec_id, r.score - got[1].score) for r in got] == [(1, 1), (2, 0)]
+    with pytest.raises(ValueError):
+        topk.search(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<float>"), F.col("vec_id") == 0)
+
+
+def test_bounds_cut_work(spark, monkeypatch):
+    monkeypatch.setattr(topk, "STEP", 32)
     rng = np.random.default_rng(2)
-    centre = rng.normal(0, 200, (20, 16))
-    x = np.floor(centre[rng.integers(20, size=3000)] + rng.normal(0, 5, (3000, 16)))
-    ids = np.arange(3000)
-    *_, evaluated = topk.cell_search(ids[:20], x[:20], ids, x, x[rng.integers(3000, size=40)], 5)
-    assert evaluated < 0.5 * 20 * 3000
+    centre = rng.normal(0, 1, (20, 16))
+    x = centre[rng.integers(20, size=3000)] + rng.normal(0, 0.02, (3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = topk.search(df, F.col("vec_id") % 50 == 0, counts=True).first()
+    assert got.pairs == 60 * 2999 and 0 < got.evaluated < 0.1 * got.pairs
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 50 == 0).collect()) == brute_top(rows)
 
 
 def test_topk_few_and_none(spark):
@@ -182,6 +265,52 @@ def test_packing_round_trip(spark):
     assert n <= total / 2048 + 3
 
 
+def test_padding_is_small_with_many_partitions(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = packing.pack(docs, VOCABULARY).select("sequence_id", "length").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len({r.sequence_id for r in rows}) <= 1.01 * sum(r.length for r in rows) / 2048 + 1
+    assert packing.n_ranges(0, 200) == 1 and packing.n_ranges(10**9, 200) == 200 and packing.n_ranges(10**13, 200) == -(-(10**13) // packing.RANGE_BYTES)
+
+
+def test_copies_stand_apart(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, "en", 150)) for i in range(300)]
+    copies = [(i, t) for i, t in rows for _ in range(1 + i % 4)]
+    got = packing.pack(spark.createDataFrame(copies, "doc_id long, text string"), VOCABULARY, 2).collect()
+    of = defaultdict(set)
+    for r in got:
+        of[r.doc_id, r.sequence_id].add(r.copy)
+    assert sum(len(c) > 1 for c in of.values()) <= 0.03 * len(of)  # at the end of a range nothing else may be left
+    assert all({r.copy for r in got if r.doc_id == i} == set(range(1, 2 + i % 4)) for i in range(0, 300, 37))
+    for i, copy in {(r.doc_id, r.copy) for r in got}:
+        parts = sorted((r.start, r.length) for r in got if (r.doc_id, r.copy) == (i, copy))
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False))
+
+
+def test_turns_of_copies():
+    def run(rows, apart, held=10**6):
+        turn, out, at = packing.in_turn(iter(rows), apart, held), [], 0
+        row = next(turn, None)
+        while row is not None:
+            out.append((row[0], row[2]))
+            at += 1
+            try:
+                row = turn.send(at)
+            except StopIteration:
+                row = None
+        return out
+
+    rows = [("a", "x")] * 3 + [("b", "x")] * 2 + [(c, "x") for c in "cdefg"]
+    got = run(rows, 2)
+    assert sorted(got) == sorted([("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), *((c, 1) for c in "cdefg")]) and all(x[0] != y[0] for x, y in zip(got, got[1:], strict=False))
+    assert run([("a", "x")] * 3, 5) == [("a", 1), ("a", 2), ("a", 3)] and run([], 5) == [] and len(run([("a", "x" * 100)] * 5, 5, 10)) == 5
+
+
 def test_odd_texts_are_packed_whole(spark):
     texts = {1: "", 2: None, 3: "İstanbul ﬁ é x <|endoftext|> ΑΣ", 4: "it's 🙂🙂 a b\x85c\x1cd 1234", 5: "x" * 9000}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
