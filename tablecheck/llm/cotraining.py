@@ -2,13 +2,15 @@
 
 Two views of a document have a classifier each: the text view sees hashed words and shapes of the text, the metadata
 view sees source, language, length and the page that shows the document (its host and its path's depth). Both start
-from the labelled rows of a bounded sample. In each round, each classifier labels the unlabelled rows of the sample of
-which it is surest and hands them to the other. Then each is calibrated on rows held back, and the log-odds of the
-calibrated views are added, each weighted by how well it separates, to score every document.
-
-Defined cases: null text is empty, null metadata is a value of its own; without labels of both kinds every score is
-0.5 and everything is kept; repeated rows give repeated results; of several pages of one document the least url
-counts; extra columns are ignored.
+from a bounded sample of the labelled rows. In each round, each classifier is calibrated on rows held back, scores all documents
+without a label and hands those of which it is surest (SURE at least, a bounded number) to the other; a view that cannot
+tell hands nothing on. In the end the log-odds of the calibrated views are added, each weighted by how well it
+separates, to score every document.
+
+Defined cases: null text is empty, null metadata is a value of its own, a negative length counts as 0; a text of any length is
+read whole; without labels of both kinds every score is 0.5 and everything is kept; of labels that contradict each other
+the least counts; rows without doc_id are scored, but have no page and teach nothing; repeated rows give repeated results;
+of several pages of one document the least url counts; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, map_texts, sample_rows
+from .common import Adam, collected, forget, map_texts, sample_rows, written
 
 SCHEMA = "doc_id long, text_score double, meta_score double, score double, kept boolean"
 BITS = 13
+#: Part of the documents without a label that a view hands on in a round at most.
+SHARE = 0.05
+#: Calibrated log-odds from which a view is sure: 19 to 1.
+SURE = float(np.log(19))
 DENSE = 10
 
 
@@ -56,7 +62,7 @@ def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
 def meta_features(source, lang, n_chars, url) -> np.ndarray:
     """Buckets of the metadata."""
     host = (url or "").partition("://")[2].partition("/")[0].lower()
-    names = [f"source={source}", f"lang={lang}", f"size={int(np.log2((n_chars or 0) + 1))}", f"host={'.'.join(host.split('.')[-3:])}", f"page={bool(url)}", f"top={host.rpartition('.')[2]}"]
+    names = [f"source={source}", f"lang={lang}", f"size={int(np.log2(max(n_chars or 0, 0) + 1))}", f"host={'.'.join(host.split('.')[-3:])}", f"page={bool(url)}", f"top={host.rpartition('.')[2]}"]
     return np.array([_hash(x) for x in names])
 
 
@@ -102,6 +108,16 @@ class View:
         return self.slope * logit + self.shift
 
 
+def features(k: int, row: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Dense values and buckets of one view; row: the text, or source, lang, n_chars and url."""
+    return (np.zeros(0), meta_features(*row)) if k else text_features(row[0] or "")
+
+
+def gathered(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Dense values, all buckets, and how many each row has."""
+    return np.array([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), np.array([len(r[1]) for r in rows], np.int64)
+
+
 class Pair:
     """Both views, and the prior log-odds that both of them hold."""
 
@@ -109,63 +125,50 @@ class Pair:
         self.text, self.meta, self.prior, self.trained = View(DENSE), View(0), 0.0, False
 
     @classmethod
-    def train(cls, rows: list[tuple], rounds: int = 4, share: float = 0.05) -> Pair:
-        """rows: text, source, lang, n_chars, url, label (1 good, 0 bad, None unknown)."""
+    def train(cls, rows: list[tuple], pool=None, rounds: int = 2, handed: int = 100) -> Pair:
+        """rows: text, source, lang, n_chars, url, label (1 good, 0 bad). pool: gives the surest documents of a view, as Pool does."""
         pair = cls()
-        label = np.array([-1 if r[5] is None else int(r[5] != 0) for r in rows])
+        label = np.array([int(r[5] != 0) for r in rows], np.int64)
         if not ((label == 0).any() and (label == 1).any()):
             return pair
-        text = [text_features(r[0] or "") for r in rows]
-        meta = [meta_features(*r[1:5]) for r in rows]
-        data = [(np.array([t[0] for t in text]), [t[1] for t in text]), (np.zeros((len(rows), 0)), meta)]
-        known = np.flatnonzero(label >= 0)
-        hold = known[np.random.default_rng(7).permutation(len(known))[: len(known) // 4]]
-        taught = [label.copy(), label.copy()]
-        for t in taught:
-            t[hold] = -1
-        open_ = np.setdiff1d(np.flatnonzero(label < 0), hold)
-        views = [pair.text, pair.meta]
-
-        def part(k: int, at: np.ndarray):
-            dense, buckets = data[k]
-            return dense[at], np.concatenate([buckets[i] for i in at]) if len(at) else np.zeros(0, np.int64), np.array([len(buckets[i]) for i in at], np.int64)
-
+        both = [[features(0, r[:1]) for r in rows], [features(1, r[1:5]) for r in rows]]
+        hold = np.random.default_rng(7).permutation(len(rows))[: len(rows) // 4]
+        learn = np.setdiff1d(np.arange(len(rows)), hold)
+        taught: list[list[tuple]] = [[], []]  # features and label, from the other view
+        good = max(1, round(handed * label.mean()))
+        at = hold if len(set(label[hold].tolist())) == 2 else np.arange(len(rows))
         for turn in range(rounds + 1):
-            for k in (0, 1):
-                at = np.flatnonzero(taught[k] >= 0)
-                if len(set(taught[k][at].tolist())) == 2:
-                    views[k].fit(*part(k, at), taught[k][at].astype(float))
-            if turn == rounds or not len(open_):
+            for k, view in enumerate(pair.views):
+                y = np.concatenate([label[learn], [t[1] for t in taught[k]]]).astype(float)
+                if len(set(y.tolist())) == 2:
+                    view.fit(*gathered([both[k][i] for i in learn] + [t[0] for t in taught[k]]), y)
+                view.calibrate(view.logit(*gathered([both[k][i] for i in at])), label[at].astype(float))
+            if turn == rounds or pool is None:
                 break
-            n = max(1, int(share * len(open_)))
             for k in (0, 1):
-                logit = views[k].logit(*part(k, open_))
-                order = np.argsort(logit, kind="stable")
-                good = max(1, int(n * (label[known] == 1).mean()))
-                for at, value in ((order[-good:], 1), (order[: max(1, n - good)], 0)):
-                    sure = at[np.abs(logit[at]) > 1.0]
-                    fresh = open_[sure][taught[1 - k][open_[sure]] < 0]
-                    taught[1 - k][fresh] = value
-        at = hold if len(set(label[hold].tolist())) == 2 else known
-        for k in (0, 1):
-            views[k].calibrate(views[k].logit(*part(k, at)), label[at].astype(float))
-        rate = label[known].mean()
+                taught[1 - k] += pool.surest(pair, k, good, max(1, handed - good))
+        rate = label.mean()
         pair.prior, pair.trained = float(np.log(rate / (1 - rate))), True
         return pair
 
+    @property
+    def views(self) -> tuple[View, View]:
+        return self.text, self.meta
+
+    def logits(self, k: int, rows: list[tuple]) -> np.ndarray:
+        """Calibrated log-odds of one view; rows: the text, or source, lang, n_chars and url."""
+        if not rows:
+            return np.zeros(0)
+        return self.views[k].calibrated(self.views[k].logit(*gathered([features(k, r) for r in rows])))
+
     def text_logits(self, all_texts: list[str | None]) -> np.ndarray:
-        """Calibrated log-odds of the text view."""
-        if not self.trained or not all_texts:
-            return np.zeros(len(all_texts))
-        text = [text_features(t or "") for t in all_texts]
-        return self.text.calibrated(self.text.logit(np.array([t[0] for t in text]), np.concatenate([t[1] for t in text]), np.array([len(t[1]) for t in text])))
+        return self.logits(0, [(t,) for t in all_texts]) if self.trained else np.zeros(len(all_texts))
 
     def combine(self, a: np.ndarray, metadata: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated text, metadata and combined probabilities, from the text view's log-odds and (source, lang, n_chars, url)."""
         if not self.trained or not metadata:
             return tuple(np.full(len(metadata), 0.5) for _ in range(3))
-        meta = [meta_features(*m) for m in metadata]
-        b = self.meta.calibrated(self.meta.logit(np.zeros((len(meta), 0)), np.concatenate(meta), np.array([len(m) for m in meta])))
+        b = self.logits(1, metadata)
         both = self.prior + self.text.weight * (a - self.prior) + self.meta.weight * (b - self.prior)
         return tuple(1 / (1 + np.exp(-np.clip(z, -40, 40))) for z in (a, b, both))
 
@@ -180,16 +183,62 @@ def with_pages(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.join(urls, F.col("doc_id") == F.col("_page"), "left").withColumn("url", F.col("_url")).drop("_page", "_url")
 
 
-def fit(docs: DataFrame, pages: DataFrame, labels: DataFrame, sample_labelled: int = 2000, sample_open: int = 2000) -> Pair:
-    """Train on at most sample_labelled labelled and sample_open other documents, whole texts."""
+class Pool:
+    """All documents without a label."""
+
+    def __init__(self, docs: DataFrame, pages: DataFrame, marked: DataFrame, sample_bytes: int):
+        known = docs.where("doc_id is not null").select("doc_id", "source", "lang", "n_chars")
+        self.docs, self.bytes, self.taken = docs, sample_bytes, ([], [])
+        self.marked = marked.select("doc_id")
+        self.meta = written(with_pages(known.join(self.marked, "doc_id", "left_anti"), pages))
+
+    def scored(self, pair: Pair, k: int) -> DataFrame:
+        """doc_id and log-odds of all documents of the pool in one view."""
+        columns, schema = (["source", "lang", "n_chars", "url"] if k else ["text"]), "doc_id long, logit double"
+
+        def work(part: pa.RecordBatch) -> dict:
+            rows = list(zip(*(part.column(c).to_pylist() for c in columns), strict=True))
+            return {"doc_id": part.column("doc_id"), "logit": pair.logits(k, rows)}
+
+        if k:
+            return map_texts(self.meta.select("doc_id", *columns), work, schema, column="url")
+        scored = map_texts(self.docs.where("doc_id is not null").select("doc_id", "text"), work, schema)
+        return scored.where(F.abs("logit") > SURE).join(self.marked, "doc_id", "left_anti")
+
+    def surest(self, pair: Pair, k: int, good: int, bad: int) -> list[tuple]:
+        """Features for the other view, and labels, of at most good and bad documents that view k has not handed on before."""
+        spark = self.docs.sparkSession
+        scored = written(self.scored(pair, k).where(F.abs("logit") > SURE))
+        left = scored
+        if self.taken[k]:
+            left = scored.join(F.broadcast(spark.createDataFrame([(i,) for i in self.taken[k]], "doc_id long")), "doc_id", "left_anti")
+        tie = F.xxhash64(F.col("doc_id").cast("string"), F.lit(17))
+        top = [left.where(f"logit * {sign} > 0").orderBy(F.col("logit") * -sign, tie, "doc_id").limit(n) for sign, n in ((1, good), (-1, bad))]
+        chosen = {r.doc_id: int(r.logit > 0) for r in top[0].union(top[1]).collect()}
+        forget(scored)
+        if not chosen:
+            return []
+        self.taken[k].extend(chosen)
+        ids = spark.createDataFrame(list(chosen.items()), "doc_id long, label int")
+        if k:
+            return [(features(0, (r.text,)), r.label) for r in collected(self.docs, ids, ["text"], self.bytes)]
+        columns = ["source", "lang", "n_chars", "url"]
+        rows = self.meta.select("doc_id", *columns).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*columns)).alias("row")).orderBy("doc_id").collect()
+        return [(features(1, tuple(r.row)), r.label) for r in rows]
+
+
+def fit(docs: DataFrame, pages: DataFrame, labels: DataFrame, sample_labelled: int = 2000, sample_bytes: int = 32_000_000, rounds: int = 2, handed: int = 100) -> Pair:
+    """Train on at most sample_labelled labelled documents (whole texts, sample_bytes in all at most) and on what the views hand each other:
+    in each of the rounds, of all documents without a label, the `handed` ones of which a view is surest, SHARE of them at most."""
     docs = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    marked = labels.select("doc_id", "quality").dropna().dropDuplicates(["doc_id"])
-    known = sample_rows(marked, "doc_id", sample_labelled)
-    other = sample_rows(docs.select("doc_id").where("doc_id is not null").join(marked.select("doc_id"), "doc_id", "left_anti"), "doc_id", sample_open)
-    ids = known.union(other.select("doc_id", F.lit(None).cast("int").alias("quality")))
-    sample = docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    rows = with_pages(sample, pages).orderBy("doc_id").collect()
-    return Pair.train([(r.text, r.source, r.lang, r.n_chars, r.url, r.quality) for r in rows])
+    marked = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    ids = sample_rows(marked, "doc_id", sample_labelled)
+    rows = collected(with_pages(docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi"), pages), ids, ["text", "source", "lang", "n_chars", "url"], sample_bytes)
+    pool = Pool(docs, pages, marked, sample_bytes)
+    most = min(handed, int(SHARE * pool.meta.count()))
+    pair = Pair.train([(r.text, r.source, r.lang, r.n_chars, r.url, r.quality) for r in rows], pool if most > 1 else None, rounds, most)
+    forget(pool.meta)
+    return pair
 
 
 def apply(docs: DataFrame, pages: DataFrame, pair: Pair, least: float = 0.5) -> DataFrame:
