@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Columns that a document table has, in order.
@@ -31,9 +31,11 @@ def dealt(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode, else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tablecheck-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -115,6 +117,18 @@ def sample_rows(df: DataFrame, by: str, most: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(by).cast("string"), F.lit(17)), by).limit(most)
 
 
+def collected(docs: DataFrame, ids: DataFrame, columns: list[str], most_bytes: int) -> list:
+    """On the driver: the columns of ids (a bounded sample, doc_id first) with those of docs, in order of doc_id.
+
+    Of rows that share an id the least counts. Whole texts only: as many as hold most_bytes bytes in all, in the order of sample_rows().
+    """
+    size = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(ids.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.max("size").alias("size"))
+    so_far = F.sum(F.col("size").cast("long")).over(Window.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), "doc_id"))  # over the sample alone
+    kept = ids.join(size.withColumn("total", so_far).where(F.col("total") <= most_bytes).select("doc_id"), "doc_id")
+    rows = docs.select("doc_id", *columns).join(F.broadcast(kept), "doc_id").groupBy(*ids.columns).agg(F.min(F.struct(*columns)).alias("row"))
+    return rows.select(*ids.columns, "row.*").orderBy(*ids.columns).collect()
+
+
 class Adam:
     """Adam on named numpy arrays, in place."""
 

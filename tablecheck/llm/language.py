@@ -2,11 +2,13 @@
 
 A linear-chain CRF labels each word: affix, character n-gram and lexicon features give a word's scores, learned
 transitions tie neighbours, and forward-backward gives posteriors. A document takes the language with the largest
-posterior mass over its words that have a letter; a word of any length counts with all its characters. Training runs in numpy on a bounded sample (`sample_docs`) of
-documents that are not held out; sequences with switches are spliced from runs of words of several documents.
+posterior mass over its words that have a letter; a word of any length counts with all its characters. Training runs in
+numpy on a bounded sample (`sample_docs`, `sample_bytes`) of documents that are not held out; sequences with switches are
+spliced from runs of words of several documents.
 
 Defined cases: a null text and a text without a letter give `und` with score 0; so does every text when no document
-teaches a language; a null lang teaches nothing; a null doc_id is not held out; repeated rows give repeated results.
+teaches a language; a null lang teaches nothing; a null doc_id is not held out; a text of any length counts whole;
+repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,16 +17,17 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import Adam, map_texts, remainder, sample_rows, texts
+from .common import Adam, collected, map_texts, remainder, texts
 
 SCHEMA = "doc_id long, lang_pred string, score double, n_letter_words long, n_switches long"
 FOLDS, HELD_OUT = 4, 2
 BITS = 15
-CACHE = 400_000
+#: Characters of the words whose scores are kept.
+CACHE_CHARS = 8_000_000
 EDGES = " .,;:!?()[]{}<>\"'|*#$%&/+=~^`_-0123456789"
 
 
@@ -174,7 +177,7 @@ class LanguageModel:
 
 
 class Scorer:
-    """Keeps the scores of the words seen so far, CACHE of them at most."""
+    """Keeps the scores of the words seen so far, until they hold CACHE_CHARS characters."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
@@ -183,10 +186,11 @@ class Scorer:
     def clear(self) -> None:
         k = len(self.model.langs)
         self.index: dict[str, int] = {}
+        self.held = 0
         self.scores, self.letter = np.zeros((0, k)), np.zeros(0, bool)
 
     def __call__(self, all_texts: list[str]) -> tuple[list[str], list[float], list[int], list[int]]:
-        if len(self.index) > CACHE:
+        if self.held > CACHE_CHARS:
             self.clear()
         index, tokens, lens = self.index, [], []
         for text in all_texts:
@@ -194,7 +198,9 @@ class Scorer:
             tokens.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
             lens.append(len(words))
         if len(index) > len(self.letter):
-            scores, letter = self.model.word_scores(list(index)[len(self.letter) :])
+            new = list(index)[len(self.letter) :]
+            scores, letter = self.model.word_scores(new)
+            self.held += sum(map(len, new)) + 10 * len(new)
             self.scores, self.letter = np.concatenate([self.scores, scores]), np.concatenate([self.letter, letter])
         ids, n = np.concatenate(tokens), np.array(lens)
         post, _, _ = crf.forward_backward(self.scores[ids], n, self.model.trans, self.model.start)
@@ -228,9 +234,13 @@ def apply(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return out.withColumn("held_out", F.coalesce(remainder("doc_id", FOLDS) == HELD_OUT, F.lit(False)))
 
 
-def fit(docs: DataFrame, sample_docs: int = 600) -> LanguageModel:
-    """Train on at most `sample_docs` documents that are not held out, whole texts."""
+def fit(docs: DataFrame, sample_docs: int = 600, sample_bytes: int = 32_000_000) -> LanguageModel:
+    """Train on at most `sample_docs` documents that are not held out: whole texts, sample_bytes in all at most.
+
+    Languages take turns in the sample, so that a rare one is learned as well.
+    """
     pool = docs.select("doc_id", "text", "lang").where((remainder("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = sample_rows(pool.select("doc_id"), "doc_id", sample_docs)
-    rows = pool.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), "doc_id"))
+    ids = pool.select("doc_id", "lang").withColumn("turn", turn).where(F.col("turn") <= sample_docs).orderBy("turn", "lang", "doc_id").limit(sample_docs)
+    rows = collected(pool, ids.select("doc_id").distinct(), ["text", "lang"], sample_bytes)
     return LanguageModel.train([(r.text, r.lang) for r in rows])

@@ -6,8 +6,9 @@ a bounded sample of labelled documents (`sample_docs`): no line carries a label,
 in quality teaches junk and a line with a legal phrase a notice, both boilerplate, the others content.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Defined cases: a null or empty text has no words, fails the base rules and is not
-kept; a line without words is labelled with its neighbours but has no weight; repeated rows give repeated results;
-with no labels at all every line is content; extra columns are ignored.
+kept; a line without words is labelled with its neighbours but has no weight; a text of any length is labelled whole;
+repeated rows give repeated results; with no labels at all every line is content; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import Adam, map_texts, sample_rows, texts
+from .common import Adam, collected, map_texts, sample_rows, texts
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -181,9 +182,11 @@ def apply(docs: DataFrame, model: LineModel, min_content: float = 0.4, min_words
     return map_texts(docs.select("doc_id", "text"), work, SCHEMA)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000) -> LineModel:
-    """Train on at most `sample_docs` labelled documents, whole texts, in the proportion in which labels come."""
-    marked = labels.select("doc_id", "quality").dropna().dropDuplicates(["doc_id"])
-    ids = sample_rows(marked, "doc_id", sample_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, sample_bytes: int = 32_000_000) -> LineModel:
+    """Train on at most `sample_docs` labelled documents in the proportion in which labels come: whole texts, sample_bytes in all at most.
+
+    Of labels that contradict each other the least counts.
+    """
+    marked = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = collected(docs, sample_rows(marked, "doc_id", sample_docs), ["text"], sample_bytes)
     return LineModel.train([(r.text, r.quality) for r in rows])

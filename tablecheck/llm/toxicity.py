@@ -6,8 +6,9 @@ document. All of it is trained in numpy on a bounded sample of labelled rows tha
 calibrated by language, which a naive Bayes model guesses from the text alone; the score is shifted so that 0.5 is
 the threshold of that language.
 
-Defined cases: a null or empty text pools to zeros and gets the score of the bias; with no labelled rows every score
-is 0; null labels teach nothing; repeated rows give repeated results; extra columns are ignored.
+Defined cases: a null or empty text pools to zeros and gets the score of the bias; a text of any length is scored whole; with
+no labelled rows every score is 0; null labels teach nothing; repeated rows give repeated results; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, map_texts, remainder, sample_rows, texts
+from .common import Adam, collected, map_texts, remainder, sample_rows, texts
 
 SCHEMA = "doc_id long, score double, predicted int"
 FOLDS, HELD_OUT = 5, 0
@@ -29,7 +30,8 @@ BITS, DIM, FILTERS = 16, 16, 12
 SHARES = (0.5, 0.3, 0.2)
 WIDTHS = (1, 2, 3)
 GAP = max(WIDTHS)
-CACHE = 400_000
+#: Characters of the words whose vectors are kept.
+CACHE_CHARS = 6_000_000
 WORD = re.compile(r"\w+")
 
 
@@ -39,11 +41,12 @@ def buckets(word: str) -> tuple[int, ...]:
 
 
 class Words:
-    """Numbers for words and their buckets; starts anew beyond CACHE words. Number 0 is the gap between texts."""
+    """Numbers for words and their buckets. Number 0 is the gap between texts."""
 
     def __init__(self):
         self.index: dict[str, int] = {"": 0}
         self.pairs: list[tuple[int, ...]] = [(-1,) * len(SHARES)]
+        self.held = 0
 
     def number(self, all_texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of all texts with gaps after each, and where each text starts and ends."""
@@ -57,6 +60,7 @@ class Words:
             at += len(words) + GAP
         for w in list(index)[len(self.pairs) :]:
             self.pairs.append(buckets(w))
+            self.held += len(w) + 10
         return np.concatenate(parts) if parts else gap, np.array(starts), np.array(ends)
 
 
@@ -218,7 +222,7 @@ def best_threshold(logit: np.ndarray, label: np.ndarray, clean_weight: float = 1
 
 
 class Scorer:
-    """Scores of texts; the vectors of the words seen so far are kept, CACHE of them at most."""
+    """Scores of texts; the vectors of the words seen so far are kept, until the words hold CACHE_CHARS characters."""
 
     def __init__(self, model: ToxicModel):
         self.model = model
@@ -230,7 +234,7 @@ class Scorer:
     def __call__(self, all_texts: list[str]) -> np.ndarray:
         if not self.model.trained or not all_texts:
             return np.zeros(len(all_texts))
-        if len(self.words.index) > CACHE:
+        if self.words.held > CACHE_CHARS:
             self.clear()
         tokens, starts, ends = self.words.number(all_texts)
         if len(self.words.pairs) > len(self.pairs):
@@ -267,11 +271,14 @@ def keep_clean(docs: DataFrame, model: ToxicModel) -> DataFrame:
     return map_texts(docs, work, docs.schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = 1200, sample_clean: int = 2000) -> ToxicModel:
-    """Train on at most sample_toxic + sample_clean labelled documents that are not held out, whole texts."""
-    marked = labels.select("doc_id", "toxic").dropna().dropDuplicates(["doc_id"]).where(remainder("doc_id", FOLDS) != HELD_OUT)
+def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = 1200, sample_clean: int = 2000, sample_bytes: int = 32_000_000) -> ToxicModel:
+    """Train on at most sample_toxic + sample_clean labelled documents that are not held out: whole texts, sample_bytes in all at most.
+
+    Of labels that contradict each other the greatest counts.
+    """
+    marked = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(remainder("doc_id", FOLDS) != HELD_OUT)
     ids = sample_rows(marked.where("toxic = 1"), "doc_id", sample_toxic).union(sample_rows(marked.where("toxic = 0"), "doc_id", sample_clean))
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = collected(docs, ids, ["text", "lang"], sample_bytes)
     counts = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     taken = {k: sum(r.toxic == k for r in rows) for k in (0, 1)}
     weight = counts.get(0, 0) / max(1, taken[0]) / max(1e-9, counts.get(1, 0) / max(1, taken[1])) if taken[0] and taken[1] else 1.0
