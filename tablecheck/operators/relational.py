@@ -4,23 +4,69 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, NumericType, TimestampNTZType, TimestampType
 
 #: So many values at most are put into an IN list; more are joined.
 IN_LIST = 500
 
 
+#: Parts that the time between the least and the greatest is cut into for an as-of join.
+TIME_PARTS = 64
+#: Buckets that one range is copied to at most; wider ranges meet buckets of a coarser grid.
+RANGE_BUCKETS = 8
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like that one which none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _time_part(time: Column, kind: DataType, least, greatest) -> Column:
+    """A number that never falls as time grows: days for dates and times, the value itself for numbers, cut into TIME_PARTS; else 0."""
+    if least is None or not isinstance(kind, (DateType, TimestampType, TimestampNTZType, NumericType)):
+        return F.lit(0)
+    if isinstance(kind, NumericType):
+        low, high = float(least), float(greatest)
+        width = (high - low) / TIME_PARTS
+        if not 0 < width < float("inf"):
+            return F.lit(0)
+        return F.floor((time.cast("double") - low) / width).cast("int")
+    days = lambda t: t.date() if hasattr(t, "date") else t
+    first = days(least)
+    width = (days(greatest) - first).days // TIME_PARTS + 1
+    return F.floor(F.datediff(time.cast("date"), F.lit(first)) / width).cast("int")
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
-    """Each left row with the values of the latest right row of its key that is not later.
+    """Each left row with the values of the latest right row of its key that is not later; of right rows at one time, the greatest values.
 
-    One union and one window instead of a range join: both sides meet sorted by time, right rows first at equal times.
+    A key is cut into parts of time, so that a hot key fills many tasks. The last right row of each part is carried into
+    the next ones as a row before all others; then both sides meet in one union and one window for each key and part.
+    NULL as key or time matches nothing: such left rows come with NULL values.
     """
-    keep = [F.col(c).alias(f"_l_{c}") for c in left.columns]
-    l = left.select(F.col(by).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_s"), F.struct(*keep).alias("_l"), F.lit(None).alias("_r"))
-    pack = F.struct(*[F.col(v) for v in values])
-    r = right.select(F.col(by).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_s"), F.lit(None).alias("_l"), pack.alias("_r"))
-    w = Window.partitionBy("_k").orderBy(F.col("_t").asc_nulls_first(), F.col("_s"), F.col("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = l.unionByName(r).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_s = 1")
-    return seen.select(*[F.col(f"_l._l_{c}").alias(c) for c in left.columns], *[F.col(f"_r.{v}").alias(v) for v in values])
+    keep = [F.col(c).alias(f"l{i}") for i, c in enumerate(left.columns)]
+    l = left.select(F.col(by).alias("k"), F.col(left_time).alias("t"), F.struct(*keep).alias("l"))
+    r = right.select(F.col(by).alias("k"), F.col(right_time).alias("t"), F.struct(*[F.col(v).alias(f"r{i}") for i, v in enumerate(values)]).alias("r")).where("k is not null and t is not null")
+    span = l.select("t").union(r.select("t")).agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    kind = l.union(r.select("k", "t", F.lit(None))).schema["t"].dataType
+    part = _time_part(F.col("t"), kind, span.a, span.b).alias("p")
+    l, r = l.select("*", part), r.select("*", part)
+    last = r.groupBy("k", "p").agg(F.max(F.struct("t", "r")).alias("x"))
+    # the parts of a key are few: what the last right row was before each of them
+    parts = last.select("k", "p", "x").union(l.where("k is not null and t is not null").select("k", "p", F.lit(None)).distinct()).groupBy("k", "p").agg(F.max("x").alias("x"))
+    before = F.last("x", ignorenulls=True).over(Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    carried = parts.select("k", "p", before.alias("x")).where("x is not null")
+    none_l, none_r = F.lit(None).cast(l.schema["l"].dataType), F.lit(None).cast(r.schema["r"].dataType)
+    asked = l.where("k is not null and t is not null").select("k", "p", "t", F.lit(2).alias("s"), "l", none_r.alias("r"))
+    given = r.select("k", "p", "t", F.lit(1).alias("s"), none_l.alias("l"), "r")
+    first = carried.select("k", "p", F.col("x.t").alias("t"), F.lit(0).alias("s"), none_l.alias("l"), F.col("x.r").alias("r"))
+    w = Window.partitionBy("k", "p").orderBy("t", "s", "r").rowsBetween(Window.unboundedPreceding, 0)
+    seen = asked.union(given).union(first).withColumn("r", F.last("r", ignorenulls=True).over(w)).where("s = 2").select("l", "r")
+    seen = seen.union(l.where("k is null or t is null").select("l", none_r.alias("r")))
+    return seen.select(*[F.col(f"l.l{i}").alias(c) for i, c in enumerate(left.columns)], *[F.col(f"r.r{i}").alias(v) for i, v in enumerate(values)])
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "_p", parts: int | None = None) -> DataFrame:
@@ -31,28 +77,45 @@ def numbered(df: DataFrame, order: list[str], name: str = "_p", parts: int | Non
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(c).asc_nulls_last() for c in order]
+    part, inside, before = unused("_part", df), unused("_inside", df), unused("_before", df)
     # kept, because dealing anew may choose other boundaries
-    dealt = df.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
-    return inside.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_i")).drop("_part", "_before", "_i")
+    dealt = _kept(df.repartitionByRange(parts, *by).withColumn(part, F.spark_partition_id()))
+    sizes = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select(F.col(part), (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(before))  # one row for each range
+    rows = dealt.withColumn(inside, F.row_number().over(Window.partitionBy(part).orderBy(*by)))
+    return rows.join(F.broadcast(offsets), part).withColumn(name, F.col(before) + F.col(inside)).drop(part, before, inside)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df as it is now: a checkpoint where the session names a folder for them, else kept in memory and on disk."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(where)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
 
 
 def positional_join(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
     """Rows side by side by their position in a stated order; the shorter side is filled with nulls."""
-    return numbered(left, left_order).join(numbered(right, right_order), "_p", "full_outer").drop("_p")
+    place = unused("_place", left, right)
+    return numbered(left, left_order, place).join(numbered(right, right_order, place), place, "full_outer").drop(place)
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs with low <= point < high: an equi-join on buckets of a width, then the exact condition.
+    """Pairs with low <= point < high: an equi-join on buckets, then the exact condition.
 
-    A range is copied to each bucket that it touches; width near the usual length of a range keeps that to about two.
+    A range touches about RANGE_BUCKETS buckets at most: those longer than that many buckets of a width meet a grid of
+    buckets RANGE_BUCKETS times as wide, and so on; points go to a bucket of each grid that some range uses.
     """
-    p = points.withColumn("_b", F.floor(F.col(point) / F.lit(width)))
-    buckets = F.sequence(F.floor(F.col(low) / F.lit(width)), F.floor(F.col(high) / F.lit(width)))
-    r = ranges.where(F.col(low) <= F.col(high)).withColumn("_b", F.explode(buckets))
-    return p.join(r, "_b").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_b")
+    level, bucket = unused("_level", points, ranges), unused("_bucket", points, ranges)
+    size = (F.col(high) - F.col(low)).cast("double") / F.lit(float(width))
+    r = ranges.where(F.col(low) < F.col(high)).withColumn(level, F.greatest(F.ceil(F.log(float(RANGE_BUCKETS), size)) - 1, F.lit(0)).cast("int"))
+    grid = lambda c: F.floor(F.col(c).cast("double") / (F.lit(float(width)) * F.pow(F.lit(float(RANGE_BUCKETS)), F.col(level))))
+    r = r.withColumn(bucket, F.explode(F.sequence(grid(low), grid(high))))
+    levels = r.agg(F.collect_set(level).alias(level))  # a few numbers in one row
+    p = points.crossJoin(F.broadcast(levels)).withColumn(level, F.explode(level)).withColumn(bucket, grid(point))
+    met = p.join(r, [level, bucket]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
+    return met.drop(level, bucket)
 
 
 def limit_percent(df: DataFrame, order: list[str], percent: float) -> DataFrame:
@@ -64,14 +127,29 @@ def limit_percent(df: DataFrame, order: list[str], percent: float) -> DataFrame:
 def top_with_ties(df: DataFrame, order: list[str], n: int, partition: tuple[str, ...] = ()) -> DataFrame:
     """The first n rows in an order, and all that tie with the last of them; `-name` sorts descending, nulls come last.
 
-    Without partitions the n-th row is found by a top-n first, so that no single task sees all rows.
+    Without partitions the n-th row is found by a top-n first, so that no single task sees all rows; it alone is broadcast.
     """
     names = [c.lstrip("-") for c in order]
     by = [F.col(c.lstrip("-")).desc_nulls_last() if c[0] == "-" else F.col(c).asc_nulls_last() for c in order]
     if partition:
-        return df.withColumn("_r", F.rank().over(Window.partitionBy(*partition).orderBy(*by))).where(F.col("_r") <= n).drop("_r")
-    ties = df.orderBy(*by).limit(n).select(F.struct(*names).alias("_t")).distinct()  # n rows at most
-    return df.join(F.broadcast(ties), F.struct(*names).eqNullSafe(F.col("_t")), "left_semi")
+        rank = unused("_rank", df)
+        return df.withColumn(rank, F.rank().over(Window.partitionBy(*partition).orderBy(*by))).where(F.col(rank) <= n).drop(rank)
+    place = unused("_place", df)
+    nth = df.select(*names).orderBy(*by).limit(n)
+    last = nth.select(F.struct(*names).alias("t")).withColumn(place, F.row_number().over(Window.orderBy(*[_in_struct(c) for c in order]))).orderBy(F.col(place).desc()).limit(1).select(F.col("t").alias(place))
+    before = F.lit(False)
+    equal = F.lit(True)
+    for c, o in zip(names, order, strict=True):
+        mine, its = F.col(c), F.col(f"{place}.{c}")
+        ahead = F.when(mine.isNull(), F.lit(False)).when(its.isNull(), F.lit(True)).otherwise(mine > its if o[0] == "-" else mine < its)
+        before = before | (equal & ahead)
+        equal = equal & mine.eqNullSafe(its)
+    return df.crossJoin(F.broadcast(last)).where(before | equal).drop(place)  # one row
+
+
+def _in_struct(order: str) -> Column:
+    c = F.col(f"t.{order.lstrip('-')}")
+    return c.desc_nulls_last() if order[0] == "-" else c.asc_nulls_last()
 
 
 def qualify(df: DataFrame, condition: Column, **windows: Column) -> DataFrame:
