@@ -52,6 +52,15 @@ def as_text(column: Column, kind: T.DataType) -> Column:
     return column.cast("string")
 
 
+def as_counted(column: Column, kind: T.DataType) -> Column:
+    """Text that is equal for equal values: both zeros of floating numbers are one, and maps that differ in order."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return (column.cast("double") + F.lit(0.0)).cast("string")
+    if isinstance(kind, T.MapType):
+        return canonical_map(column)
+    return F.hex(column) if isinstance(kind, T.BinaryType) else column.cast("string")
+
+
 def value_expr(column: Column, kind: T.DataType, other: T.DataType, options: ParityOptions) -> Column:
     """What one side of a pair is compared as: numbers as numbers, equal types natively, anything else as text."""
     if is_numeric(kind) and is_numeric(other):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.functions.expr import count_where, quoted, sentinel_mismatch
+from tablecheck.functions.expr import as_counted, count_where, quoted, sentinel_mismatch
 
 
 def joined(a: DataFrame, b: DataFrame, key: str, key_out: str | None = None) -> DataFrame:
@@ -56,9 +56,10 @@ def null_rates(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataF
 def distinct_counts(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """field, input_distinct, output_distinct over the row pairs.
 
-    Values are unpivoted as text and counted by (field, side, value): one shuffle for any number of fields.
+    Values are unpivoted as text, equal numbers as equal text, and counted by (field, side, value): one shuffle for any number of fields.
     """
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(s).alias("side"), c(f).cast("string").alias("v")) for f in fields for s, c in (("in", _a), ("out", _b))])
+    kinds = {"in": a.schema, "out": b.schema}
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(s).alias("side"), as_counted(c(f), kinds[s][f].dataType).alias("v")) for f in fields for s, c in (("in", _a), ("out", _b))])
     values = joined(a, b, key).select(F.inline(cells)).where("v is not null").groupBy("field", "side", "v").agg(F.count(F.lit(1)).alias("n"))
     some = values.groupBy("field").agg(count_where(F.col("side") == "in").alias("input_distinct"), count_where(F.col("side") == "out").alias("output_distinct"))
     every = a.sparkSession.createDataFrame([(f,) for f in fields], "field string")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecheck.functions.expr import quoted
+from tablecheck.functions.expr import as_counted, quoted
 from tablecheck.model import ColumnPair
 
 #: Fixed value: how key columns are named.
@@ -37,11 +37,11 @@ def auto_pair(source: DataFrame, target: DataFrame) -> tuple[list[ColumnPair], l
 def uniqueness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column_name, total_rows, distinct_values, non_null: one row for each column.
 
-    Values are unpivoted to text and counted with one shuffle on (column, value), so wide tables do not multiply their rows
+    Values are unpivoted to text, equal numbers to equal text, and counted with one shuffle on (column, value), so wide tables do not multiply their rows
     by an Expand for each DISTINCT, and partial sums keep hot values small.
     """
     columns = columns or df.columns
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).cast("string").alias("v")) for c in columns])).alias("c")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), as_counted(F.col(quoted(c)), df.schema[c].dataType).alias("v")) for c in columns])).alias("c")
     counts = df.select(cells).groupBy("c.column_name", "c.v").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("column_name").agg(
         F.sum("n").alias("total_rows"), F.count("v").alias("distinct_values"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null")
