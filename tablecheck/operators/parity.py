@@ -9,8 +9,9 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tablecheck.functions.expr import as_text, canonical_map, count_where, edges_marked, key_expr, mismatch, value_expr
 from tablecheck.model import ColumnOutcome, KeyFigures, ParityOptions, ParityResult, ParitySpec
@@ -120,6 +121,43 @@ def column_sample(source: DataFrame, target: DataFrame, spec: ParitySpec, index:
     return out.orderBy(*[F.col(c).asc_nulls_last() for c in out.columns]).limit(limit)
 
 
+def column_samples(source: DataFrame, target: DataFrame, spec: ParitySpec, indexes: list[int], limit: int = SAMPLE_LIMIT) -> DataFrame:
+    """column (its index), place (from 1), k0…, source_value, target_value as text: the first pairs that disagree in each column, all columns in one pass.
+
+    The window keeps `limit` rows of each column in every task before anything is shuffled.
+    """
+    cells = []
+    for i in indexes:
+        p = spec.compare[i]
+        shown = [F.coalesce(edges_marked(as_text(c, kind)), F.lit("NULL")) for c, kind in ((F.col(f"s.v{i}"), p.source_type), (F.col(f"t.v{i}"), p.target_type))]
+        cells.append(F.when(_differs(spec, i), F.struct(F.lit(i).alias("column"), shown[0].alias("source_value"), shown[1].alias("target_value"))))
+    keys = [F.col(f"s.r{i}").alias(f"k{i}") for i in range(len(spec.keys))]
+    rows = paired(source, target, spec).select(*keys, F.inline(F.array_compact(F.array(*cells))))
+    order = [F.col(c).asc_nulls_last() for c in (*_keys(spec), "source_value", "target_value")]
+    place = F.row_number().over(Window.partitionBy("column").orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= limit).select("column", "place", *_keys(spec), "source_value", "target_value")
+
+
+def key_profile(source: DataFrame, target: DataFrame, spec: ParitySpec) -> DataFrame:
+    """row_counts, key_health and key_coverage in one row, from one pass over both sides; for keys that are joined on as stored."""
+    keys = _keys(spec)
+    s = side(source, spec, "source").select(*keys, F.lit(1).alias("s"), F.lit(0).alias("t"))
+    t = side(target, spec, "target").select(*keys, F.lit(0).alias("s"), F.lit(1).alias("t"))
+    n_s, n_t, whole = F.col("n_s"), F.col("n_t"), _present(keys)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return s.union(t).groupBy(*keys).agg(F.sum("s").alias("n_s"), F.sum("t").alias("n_t")).agg(
+        total(n_s).alias("source_rows"),
+        total(n_t).alias("target_rows"),
+        count_where(whole & (n_s > 1)).alias("source_duplicate_keys"),
+        total(F.when(~whole, n_s)).alias("source_null_keys"),
+        count_where(whole & (n_t > 1)).alias("target_duplicate_keys"),
+        total(F.when(~whole, n_t)).alias("target_null_keys"),
+        count_where(whole & (n_s > 0) & (n_t > 0)).alias("matched_keys"),
+        count_where(whole & (n_t == 0)).alias("only_in_source"),
+        count_where(whole & (n_s == 0)).alias("only_in_target"),
+    )
+
+
 def row_projection(df: DataFrame, spec: ParitySpec, which: str) -> DataFrame:
     """The compared values as c0, c1, …, normalised."""
     rows, source = side(df, spec, which), which == "source"
@@ -187,27 +225,29 @@ def run_parity(source: DataFrame, target: DataFrame, spec: ParitySpec, meta: dic
             progress(label)
         return df.collect()
 
-    counts = first("Row counts", row_counts(source, target))
     outcomes = [ColumnOutcome(p) for p in spec.compare]
     keys = sets = None
     only_s: list = []
     only_t: list = []
+    if spec.mode == "key" and all(k.source_type == k.target_type and not isinstance(k.source_type, MapType) for k in spec.keys):
+        counts = health = cover = first("Rows, keys and their coverage", key_profile(source, target, spec))
+    else:
+        counts = first("Row counts", row_counts(source, target))
     if spec.mode == "key":
-        health = first("Duplicate and empty keys", key_health(source, target, spec))
-        cover = first("Key coverage", key_coverage(source, target, spec))
+        if "matched_keys" not in counts:
+            health = first("Duplicate and empty keys", key_health(source, target, spec))
+            cover = first("Key coverage", key_coverage(source, target, spec))
         diff = first("Column differences on matched rows" if spec.compare else "Matched row pairs", column_diff_wide(source, target, spec))
         for i, o in enumerate(outcomes):
             o.mismatches = _count(diff[i + 1])
-        keys = KeyFigures(*(_count(health[c]) for c in ("source_duplicate_keys", "source_null_keys", "target_duplicate_keys", "target_null_keys")), *(_count(x) for x in cover), _count(diff[0]))
-        for i, o in enumerate(outcomes):
-            if o.mismatches:
-                found = column_sample(source, target, spec, i)
-                n = len(spec.keys)
-                text = found.select(
-                    *[F.coalesce(F.col(f"k{j}").cast("string"), F.lit("NULL")) for j in range(n)],
-                    *[F.coalesce(edges_marked(as_text(F.col(c), found.schema[c].dataType)), F.lit("NULL")) for c in ("source_value", "target_value")],
-                )
-                o.samples = [{"key": list(r[:n]), "source": r[n], "target": r[n + 1]} for r in rows(f"Examples where {o.pair.source} differs", text)]
+        told = ("source_duplicate_keys", "source_null_keys", "target_duplicate_keys", "target_null_keys")
+        keys = KeyFigures(*(_count(health[c]) for c in told), *(_count(cover[c]) for c in ("matched_keys", "only_in_source", "only_in_target")), _count(diff[0]))
+        if found := [i for i, o in enumerate(outcomes) if o.mismatches]:
+            n = len(spec.keys)
+            shown = column_samples(source, target, spec, found).orderBy("column", "place")
+            text = shown.select("column", *[F.coalesce(F.col(f"k{j}").cast("string"), F.lit("NULL")) for j in range(n)], "source_value", "target_value")
+            for i, *r in rows("Examples of differing values", text):  # SAMPLE_LIMIT for each column
+                outcomes[i].samples.append({"key": r[:n], "source": r[n], "target": r[n + 1]})
         if keys.only_source:
             only_s = _shown(rows("Keys only in the source", missing_keys(source, target, spec, "source")))
         if keys.only_target:
@@ -220,6 +260,6 @@ def run_parity(source: DataFrame, target: DataFrame, spec: ParitySpec, meta: dic
         if sets[1]:
             only_t = _shown(rows("Rows only in the target", row_set_sample(source, target, spec, "target")))
     return ParityResult(
-        spec.mode, _count(counts[0]), _count(counts[1]), keys, sets, outcomes, only_s, only_t, meta.get("unpaired_source", []), meta.get("unpaired_target", []),
+        spec.mode, _count(counts["source_rows"]), _count(counts["target_rows"]), keys, sets, outcomes, only_s, only_t, meta.get("unpaired_source", []), meta.get("unpaired_target", []),
         meta.get("excluded", []), steps, source.sparkSession.version, (time.monotonic() - began) * 1000,
     )
