@@ -20,6 +20,10 @@ class Dialect:
     integer_division: bool = False
     array_base: int | None = None
     folds: str = ""
+    #: What || does: join texts, "or", or nothing.
+    pipes: str = "join"
+    #: Constructs that not all dialects have, by the names that `constructs` gives them.
+    has: frozenset[str] = frozenset()
     aliases: tuple[str, ...] = ()
 
     def differs(self, a: str, b: str) -> str:
@@ -31,27 +35,31 @@ class Dialect:
         return f"{a} IS DISTINCT FROM {b}"
 
 
+def _has(names: str) -> frozenset[str]:
+    return frozenset(names.split())
+
+
 _BACKTICK = {"open": "`", "close": "`"}
 #: Properties of the dialects.
 DIALECTS = {
     d.id: d
     for d in (
-        Dialect("postgresql", "PostgreSQL", integer_division=True, array_base=1, folds="lower", aliases=("postgres", "pg")),
-        Dialect("mysql", "MySQL", **_BACKTICK, backslash=True, double_quote_strings=True, comments=("-- ", "#"), null_safe="spaceship"),
-        Dialect("sqlite", "SQLite", integer_division=True),
-        Dialect("transactsql", "SQL Server (T-SQL)", "[", "]", null_safe="spelled", row_limit="top", integer_division=True, aliases=("mssql", "sqlserver", "tsql")),
-        Dialect("plsql", "Oracle", null_safe="spelled", row_limit="fetch", max_in_list=1000, folds="upper", aliases=("oracle",)),
-        Dialect("mariadb", "MariaDB", **_BACKTICK, backslash=True, double_quote_strings=True, comments=("-- ", "#"), null_safe="spaceship"),
-        Dialect("snowflake", "Snowflake", backslash=True, comments=("--", "//"), array_base=0, folds="upper", max_in_list=16384),
-        Dialect("bigquery", "BigQuery", **_BACKTICK, backslash=True, double_quote_strings=True, comments=("--", "#"), array_base=0),
-        Dialect("redshift", "Redshift", integer_division=True, folds="lower"),
-        Dialect("trino", "Trino / Athena", integer_division=True, array_base=1, aliases=("athena", "presto")),
-        Dialect("spark", "Spark", **_BACKTICK, backslash=True, double_quote_strings=True, null_safe="spaceship", array_base=0, aliases=("databricks",)),
-        Dialect("hive", "Hive", **_BACKTICK, backslash=True, double_quote_strings=True, null_safe="spaceship", array_base=0),
-        Dialect("clickhouse", "ClickHouse", **_BACKTICK, backslash=True, comments=("--", "#"), null_safe="spelled", array_base=1),
-        Dialect("duckdb", "DuckDB", array_base=1),
-        Dialect("db2", "Db2", row_limit="fetch", integer_division=True, folds="upper"),
-        Dialect("sql", "Standard SQL", row_limit="fetch"),
+        Dialect("postgresql", "PostgreSQL", integer_division=True, array_base=1, folds="lower", has=_has("colons distinct ilike"), aliases=("postgres", "pg")),
+        Dialect("mysql", "MySQL", **_BACKTICK, backslash=True, double_quote_strings=True, comments=("-- ", "#"), null_safe="spaceship", pipes="or", has=_has("if spaceship")),
+        Dialect("sqlite", "SQLite", integer_division=True, has=_has("distinct iif")),
+        Dialect("transactsql", "SQL Server (T-SQL)", "[", "]", null_safe="spelled", row_limit="top", integer_division=True, pipes="", has=_has("charindex iif nolock"), aliases=("mssql", "sqlserver", "tsql")),
+        Dialect("plsql", "Oracle", null_safe="spelled", row_limit="fetch", max_in_list=1000, folds="upper", has=_has("connect-by decode rownum"), aliases=("oracle",)),
+        Dialect("mariadb", "MariaDB", **_BACKTICK, backslash=True, double_quote_strings=True, comments=("-- ", "#"), null_safe="spaceship", pipes="or", has=_has("if spaceship")),
+        Dialect("snowflake", "Snowflake", backslash=True, comments=("--", "//"), array_base=0, folds="upper", max_in_list=16384, has=_has("charindex colons distinct iff ilike qualify")),
+        Dialect("bigquery", "BigQuery", **_BACKTICK, backslash=True, double_quote_strings=True, comments=("--", "#"), array_base=0, has=_has("distinct if qualify")),
+        Dialect("redshift", "Redshift", integer_division=True, folds="lower", has=_has("colons decode distinct ilike")),
+        Dialect("trino", "Trino / Athena", integer_division=True, array_base=1, has=_has("distinct if"), aliases=("athena", "presto")),
+        Dialect("spark", "Spark", **_BACKTICK, backslash=True, double_quote_strings=True, null_safe="spaceship", array_base=0, has=_has("distinct if ilike lateral-view spaceship"), aliases=("databricks",)),
+        Dialect("hive", "Hive", **_BACKTICK, backslash=True, double_quote_strings=True, null_safe="spaceship", array_base=0, has=_has("distinct if lateral-view spaceship")),
+        Dialect("clickhouse", "ClickHouse", **_BACKTICK, backslash=True, comments=("--", "#"), null_safe="spelled", array_base=1, has=_has("colons distinct if ilike")),
+        Dialect("duckdb", "DuckDB", array_base=1, has=_has("colons distinct if ilike qualify")),
+        Dialect("db2", "Db2", row_limit="fetch", integer_division=True, folds="upper", has=_has("distinct")),
+        Dialect("sql", "Standard SQL", row_limit="fetch", has=_has("distinct")),
     )
 }
 
