@@ -191,13 +191,18 @@ def _typed(name: str, kind: str) -> Column:
     return v.try_cast(kind).alias(name)
 
 
-def first_misfit(raw: DataFrame, column: str, kind: str) -> CsvFailure | None:
-    """Line, value and column of the first value that is not of a kind."""
-    placed = raw.select(F.monotonically_increasing_id().alias("_at"), F.nullif(F.col(quoted(column)), F.lit("")).alias("v"))
-    bad = placed.where(F.col("v").isNotNull() & ~_tests(F.col("v"))[kind]).agg(F.min_by("v", "_at").alias("v"), F.min("_at").alias("at")).first()
-    if bad.at is None:
-        return None
-    return CsvFailure(placed.where(F.col("_at") <= bad.at).count() + 1, column, bad.v, kind)
+def first_misfits(raw: DataFrame, kinds: dict[str, str]) -> list[CsvFailure]:
+    """For each column line and value of the first one that is not of the kind; two passes for any number of columns."""
+    if not kinds:
+        return []
+    placed = raw.select(F.monotonically_increasing_id().alias("at"), *[F.nullif(F.col(quoted(c)), F.lit("")).alias(f"v{i}") for i, c in enumerate(kinds)])
+    bad = [F.when(F.col(f"v{i}").isNotNull() & ~_tests(F.col(f"v{i}"))[k], F.struct("at", F.col(f"v{i}").alias("v"))) for i, k in enumerate(kinds.values())]
+    first = placed.agg(*[F.min(b).alias(f"b{i}") for i, b in enumerate(bad)]).first()
+    found = [(i, c, k, first[i]) for i, (c, k) in enumerate(kinds.items()) if first[i] is not None]
+    if not found:
+        return []
+    lines = placed.agg(*[F.count(F.when(F.col("at") <= b.at, 1)).alias(f"n{i}") for i, _, _, b in found]).first()
+    return [CsvFailure(n + 1, c, b.v, k) for n, (_, c, k, b) in zip(lines, found, strict=True)]
 
 
 def load_csv(spark: SparkSession, path: str, delimiter: str | None = None, day_first: bool = True) -> tuple[DataFrame, list[str]]:
@@ -229,6 +234,7 @@ def load_csv(spark: SparkSession, path: str, delimiter: str | None = None, day_f
         notes.append(f"{typing.ragged} of {typing.rows} rows have another number of fields than the header.")
     out = []
     fixed: dict[str, Column] = {}
+    nearly: dict[str, str] = {}
     texts = [c for c in columns if typing.kinds[c] == "string" and typing.counts[c]["n"]]
     if texts:
         shape = shapes.text_shapes(raw.select(*[F.col(quoted(c)) for c in texts]), texts, sample=None)
@@ -252,9 +258,11 @@ def load_csv(spark: SparkSession, path: str, delimiter: str | None = None, day_f
                 notes.append(f"{c}: leading zeros kept as text.")
             else:
                 near = max(("bigint", "double", "date", "timestamp_ntz"), key=lambda k: n[k])
-                if n[near] * 10 >= n["n"] * 9 and (bad := first_misfit(raw, c, near)):
-                    notes.append(f"{c}: kept as text, since line {bad.line} holds {bad.value!r}, which is no {near}.")
+                if n[near] * 10 >= n["n"] * 9:
+                    nearly[c] = near
         out.append(_typed(c, kind))
+    for bad in first_misfits(raw, nearly):
+        notes.append(f"{bad.column}: kept as text, since line {bad.line} holds {bad.value!r}, which is no {bad.kind}.")
     return raw.select(*out), notes
 
 

@@ -147,10 +147,11 @@ def generate_rows(spark: SparkSession, specs: list[ColumnSpec], rows: int = 100,
     """row, and for each column a struct of value (text, null for NULL), kind and edge (its name, or null).
 
     The first rows hold the edge values, the next one NULL wherever it may be; keys count up and are unique, and a
-    text key's first two rows differ in case only.
+    text key's first two rows differ in case only. At most MAX_ROWS rows are made.
     """
-    if rows > MAX_ROWS and len(specs) == 0:
+    if not specs:
         raise ValueError("no columns")
+    rows = max(0, min(rows, MAX_ROWS))
     n_edges = max((len(edges(s)) for s in specs if not s.is_key), default=0)
     row = F.col("row")
     out = []
