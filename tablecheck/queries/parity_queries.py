@@ -290,6 +290,50 @@ def verdict_inputs(spark, sf_dir):
     return parity.row_counts(s, t).crossJoin(parity.key_health(s, t, spec)).crossJoin(parity.key_coverage(s, t, spec)).crossJoin(wide)  # one row each
 
 
+_WRITTEN = {"o_custkey": "CAST({} AS VARCHAR)", "o_orderstatus": "{}", "o_orderpriority": "regexp_replace({}, ' $', '␣')"}
+
+
+@REGISTRY.add(
+    f"WITH {_T}, ks AS (SELECT o_orderkey AS k, count(*) AS n FROM orders GROUP BY 1), kt AS (SELECT o_orderkey AS k, count(*) AS n FROM t GROUP BY 1) SELECT (SELECT count(*) FROM orders) AS source_rows, (SELECT count(*) FROM t) AS target_rows, "
+    "(SELECT count(*) FROM ks WHERE n > 1) AS source_duplicates, (SELECT count(*) FROM kt WHERE n > 1) AS target_duplicates, (SELECT count(*) FROM ks JOIN kt USING (k)) AS matched, (SELECT count(*) FROM ks ANTI JOIN kt USING (k)) AS only_source, "
+    f"(SELECT count(*) FROM kt ANTI JOIN ks USING (k)) AS only_target, (SELECT count(*) {_ON}) AS compared_rows, 'differs' AS verdict"
+)
+def parity_run_figures(spark, sf_dir):
+    """The figures of a whole run, and its verdict."""
+    from tablecheck.operators.verdict import assess
+
+    s, t = orders_pair(spark, sf_dir)
+    spec, meta = parity.make_spec(s, t, ["o_orderkey"])
+    r = parity.run_parity(s, t, spec, meta)
+    k = r.keys
+    row = (r.source_rows, r.target_rows, k.source_duplicates, k.target_duplicates, k.matched, k.only_source, k.only_target, k.compared_rows, assess(r, spec.options).verdict)
+    return spark.createDataFrame([row], "source_rows long, target_rows long, source_duplicates long, target_duplicates long, matched long, only_source long, only_target long, compared_rows long, verdict string")
+
+
+@REGISTRY.add(
+    f"WITH {_T}, d AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, s.o_orderkey, coalesce({w.format('s.' + c)}, 'NULL') AS source_value, coalesce({w.format('t.' + c)}, 'NULL') AS target_value {_ON} WHERE s.{c} IS DISTINCT FROM t.{c}" for c, w in _WRITTEN.items()
+    )
+    + ") SELECT * FROM (SELECT column_name, CAST(row_number() OVER (PARTITION BY column_name ORDER BY o_orderkey, source_value, target_value) AS INTEGER) AS place, CAST(o_orderkey AS VARCHAR) AS key, source_value, target_value FROM d) WHERE place <= 5"
+)
+def parity_run_examples(spark, sf_dir):
+    """The examples that a whole run shows, of three columns."""
+    s, t = orders_pair(spark, sf_dir)
+    spec, meta = parity.make_spec(s, t, ["o_orderkey"], exclude=("o_totalprice", "o_orderdate"))
+    columns = parity.run_parity(s, t, spec, meta).columns
+    rows = [(o.pair.source, i + 1, x["key"][0], x["source"], x["target"]) for o in columns for i, x in enumerate(o.samples)]
+    return spark.createDataFrame(rows, "column_name string, place int, key string, source_value string, target_value string")
+
+
+@REGISTRY.add("SELECT 'x' AS field, count(DISTINCT CASE WHEN o_orderkey % 3 < 2 THEN 0 ELSE o_orderkey % 5 END) AS input_distinct, count(DISTINCT CASE WHEN o_orderkey % 3 < 2 THEN 0 ELSE o_orderkey % 5 END) AS output_distinct FROM orders")
+def distinct_count_of_zeros(spark, sf_dir):
+    """0.0 and -0.0 are one value."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    z = spark.sql("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 0.0D WHEN 1 THEN -0.0D ELSE CAST(o_orderkey % 5 AS DOUBLE) END AS x FROM orders")
+    return checks.distinct_counts(z, z, "o_orderkey", ["x"])
+
+
 @REGISTRY.add()
 def parity_run(spark, sf_dir):
     """The whole run: findings and gaps of its verdict."""

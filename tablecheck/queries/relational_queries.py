@@ -16,7 +16,7 @@ both = REGISTRY.spark_sql
 both("inner_join", "SELECT o.o_orderkey, c.c_name, o.o_totalprice FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'BUILDING'")
 both("left_join", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'P'")
 both("right_join", "SELECT n.n_nationkey, s.s_suppkey FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey")
-both("full_join", "SELECT a.o_orderkey AS a_key, b.o_orderkey AS b_key FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0) a FULL OUTER JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) b ON a.o_orderkey = b.o_orderkey")
+both("full_join", "SELECT a.o_orderkey AS a_key, b.twice AS b_key FROM orders a FULL OUTER JOIN (SELECT 2 * o_orderkey AS twice FROM orders) b ON a.o_orderkey = b.twice")
 both("semi_join", "SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
 both("anti_join", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 both("cross_join", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
@@ -31,8 +31,8 @@ both("exists_correlated", "SELECT o_orderkey FROM orders o WHERE o_totalprice >
 both("scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders)")
 both(
     "lateral_unnest",
-    "SELECT vec_id, pos, CAST(round(x, 6) AS DOUBLE) AS x FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, x WHERE vec_id % 20 = 0",
-    "SELECT vec_id, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS pos, CAST(round(unnest(embedding), 6) AS DOUBLE) AS x FROM embeddings WHERE vec_id % 20 = 0",
+    "SELECT vec_id, pos, CAST(round(x, 6) AS DOUBLE) AS x FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, x",
+    "SELECT vec_id, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS pos, CAST(round(unnest(embedding), 6) AS DOUBLE) AS x FROM embeddings",
 )
 both("lateral_join", "SELECT c.c_custkey, l.best FROM customer c, LATERAL (SELECT max(o_totalprice) AS best FROM orders o WHERE o.o_custkey = c.c_custkey) l")
 
@@ -46,6 +46,30 @@ def asof_join(spark, sf_dir):
     return relational.asof_join(e, o, "user_id", "ts", "o_orderdate", ["o_orderkey"]).select("event_id", "o_orderkey")
 
 
+_PLANTED_LEFT = "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts END AS ts, CASE WHEN event_id % 7 = 0 THEN NULL ELSE user_id % 3 END AS user_id FROM events"
+_PLANTED_RIGHT = "SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey % 3 END AS k, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderdate END AS day, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2"
+
+
+@REGISTRY.add(
+    f"WITH l AS ({_PLANTED_LEFT}), r AS ({_PLANTED_RIGHT}) SELECT event_id, (SELECT max_by(o_orderkey, day) FROM r WHERE r.k = l.user_id AND r.day <= l.ts) AS o_orderkey FROM l"
+)
+def asof_join_nulls(spark, sf_dir):
+    """Keys and times that are NULL match nothing; three keys hold all rows."""
+    for t in ("events", "orders"):
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    right = spark.sql(_PLANTED_RIGHT).withColumnRenamed("k", "user_id")
+    return relational.asof_join(spark.sql(_PLANTED_LEFT), right, "user_id", "ts", "day", ["o_orderkey"]).select("event_id", "o_orderkey")
+
+
+@REGISTRY.add(
+    "WITH b AS (SELECT c_custkey AS _b, c_acctbal AS lo, c_acctbal + CASE WHEN c_custkey % 40 = 0 THEN 5000 WHEN c_custkey % 3 = 0 THEN 0 ELSE 7 END AS hi FROM customer) SELECT s_suppkey, _b FROM supplier JOIN b ON s_acctbal >= lo AND s_acctbal < hi"
+)
+def range_join_wide(spark, sf_dir):
+    """Ranges of very different widths, empty ones among them; a column has a name of a helper's kind."""
+    b = table(spark, sf_dir, "customer").selectExpr("c_custkey AS _b", "c_acctbal AS lo", "c_acctbal + CASE WHEN c_custkey % 40 = 0 THEN 5000 WHEN c_custkey % 3 = 0 THEN 0 ELSE 7 END AS hi")
+    return relational.range_join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), b, "s_acctbal", "lo", "hi", 5).select("s_suppkey", "_b")
+
+
 @REGISTRY.add("SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS p FROM customer) a FULL OUTER JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS p FROM supplier) b USING (p)")
 def positional_join(spark, sf_dir):
     return relational.positional_join(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), ["c_custkey"], ["s_acctbal", "s_suppkey"]).select("c_custkey", "s_suppkey")
@@ -87,6 +111,13 @@ def approx_distinct(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("orders"))
 
 
+@REGISTRY.add("SELECT l_returnflag, TRUE AS close FROM lineitem GROUP BY l_returnflag")
+def approx_distinct_error(spark, sf_dir):
+    """Whether the estimate of each group lies within four standard errors of the count."""
+    close = F.abs(F.approx_count_distinct("l_orderkey", 0.02) - F.count_distinct("l_orderkey")) <= 0.08 * F.count_distinct("l_orderkey")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(close.alias("close"))
+
+
 @REGISTRY.add("SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS \"F\", count(*) FILTER (WHERE l_linestatus = 'O') AS \"O\" FROM lineitem GROUP BY l_returnflag")
 def pivot(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count().na.fill(0, ["F", "O"])
@@ -147,7 +178,7 @@ both("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nat
 both("intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
 both("intersect_all", "SELECT o_custkey AS k FROM orders INTERSECT ALL SELECT user_id FROM events")
 both("except_distinct", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
-both("except_all", "SELECT text FROM documents EXCEPT ALL SELECT text FROM documents WHERE doc_id % 3 = 0")
+both("except_all", "SELECT text FROM documents EXCEPT ALL SELECT DISTINCT text FROM documents")
 both("cte", "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), top AS (SELECT max(n) AS m FROM big) SELECT b.o_custkey, b.n FROM big b JOIN top t ON b.n = t.m")
 both("recursive_cte", "WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t")
 both("values_rows", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS v(n, s)")
@@ -188,7 +219,7 @@ both(
 )
 both("null_fns", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS c, nullif(o_orderkey % 5, 0) AS n, CASE WHEN nullif(o_orderstatus, 'O') IS NULL THEN 1 ELSE 0 END AS i, nullif(o_orderstatus, 'F') IS DISTINCT FROM NULL AS x FROM orders")
 both("hash_fns", "SELECT doc_id, sha2(text, 256) AS sha, md5(text) AS md FROM documents", "SELECT doc_id, sha256(text) AS sha, md5(text) AS md FROM documents")
-both("division", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey / 2 AS half FROM lineitem WHERE l_orderkey % 7 = 0")
+both("division", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey / 2 AS half FROM lineitem")
 both("regexp_fns", "SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host, regexp_replace(url, '[0-9]+', '#') AS masked FROM pages", "SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host, regexp_replace(url, '[0-9]+', '#', 'g') AS masked FROM pages")
 
 

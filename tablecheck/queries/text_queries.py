@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablecheck.functions import shapes
 from tablecheck.functions.expr import canonical_cell
-from tablecheck.queries.registry import Registry, table
+from tablecheck.queries.registry import Registry, scratch, table
 
 REGISTRY = Registry()
 
@@ -75,18 +75,15 @@ def canonical_cells(spark, sf_dir):
     return o.select(*[canonical_cell(F.col(f.name), f.dataType).alias(f.name) for f in o.schema])
 
 
-@REGISTRY.add("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P'")
+@REGISTRY.add("SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderpriority FROM orders")
 def csv_round_trip(spark, sf_dir):
     """Written as CSV and loaded again with types inferred."""
-    import tempfile
-
     from tablecheck.sources import files, sinks
 
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tablecheck-')}"
-    path = f"{where.rstrip('/')}/csv-round-trip-{spark.sparkContext.applicationId}"
-    sinks.export_csv(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), path)
+    path = f"{scratch(spark)}/csv-round-trip"
+    sinks.export_csv(table(spark, sf_dir, "orders"), path)
     df, _ = files.load_csv(spark, path)
-    return df.select("o_orderkey", "o_custkey")
+    return df.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
 
 
 # SQL as text, schemas, generated data

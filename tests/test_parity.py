@@ -28,7 +28,7 @@ def test_same_table_matches(base):
     r, a = run(base, base, ["id"])
     assert a.verdict == "match" and not a.findings and not a.gaps
     assert r.keys.matched == 3 and r.keys.compared_rows == 3
-    assert r.steps == ["Row counts", "Duplicate and empty keys", "Key coverage", "Column differences on matched rows"]
+    assert r.steps == ["Rows, keys and their coverage", "Column differences on matched rows"]
 
 
 def test_missing_extra_changed(spark, base):
@@ -179,3 +179,53 @@ def test_relational(spark):
     assert relational.in_list(d, "k", list(range(3, 4000))).count() == 7
     n = relational.numbered(d, ["k"]).orderBy("k").collect()
     assert [r["_p"] for r in n] == list(range(1, 11))
+
+
+def test_asof_rules(spark):
+    left = spark.createDataFrame([(1, "a", 5), (2, "a", None), (3, None, 5), (4, "b", 1), (5, "a", 900), (6, "a", -3), (7, "c", 5)], "k int, by string, t int")
+    right = spark.createDataFrame([("a", 5, "x"), ("a", 5, "y"), ("a", 2, "w"), ("a", None, "n"), (None, 1, "o"), ("b", 2, "z"), ("c", 1, None), ("c", 0, "old")], "by string, t int, v string")
+    got = {r.k: r.v for r in relational.asof_join(left, right, "by", "t", "t", ["v"]).collect()}
+    assert got == {1: "y", 2: None, 3: None, 4: None, 5: "y", 6: None, 7: None}
+    assert relational.asof_join(left.limit(0), right, "by", "t", "t", ["v"]).count() == 0
+    assert {r.v for r in relational.asof_join(left, right.limit(0), "by", "t", "t", ["v"]).collect()} == {None}
+
+
+def test_asof_of_one_hot_key(spark):
+    left = spark.range(3000).selectExpr("id", "'hot' AS by", "CAST(id * 7 % 3001 AS DOUBLE) AS t")
+    right = spark.range(0, 3000, 13).selectExpr("'hot' AS by", "CAST(id AS DOUBLE) AS t", "id AS v")
+    for r in relational.asof_join(left, right, "by", "t", "t", ["v"]).collect():
+        assert r.v == int(r.t) // 13 * 13
+    days = "TIMESTAMP_NTZ '2020-01-01 00:00:00' + make_dt_interval({}, 3)"
+    late = relational.asof_join(left.selectExpr("id", "by", days.format("CAST(t AS INT)") + " AS t"), right.selectExpr("by", days.format("CAST(t AS INT)") + " AS t", "v"), "by", "t", "t", ["v"])
+    assert late.where("v <> (id * 7 % 3001) div 13 * 13 or v is null").count() == 0
+
+
+def test_range_join_of_any_width(spark):
+    points = spark.createDataFrame([(float(x),) for x in range(-50, 50)], "x double").selectExpr("x", "1 as _b", "2 as _level")
+    ranges = spark.createDataFrame([(-1e9, 1e9), (3.0, 3.0), (5.0, 4.0), (0.0, 0.5), (-20.0, 20.0), (None, 3.0), (1.0, None), (7.5, 9.0)], "lo double, hi double")
+    got = sorted((r.x, r.lo) for r in relational.range_join(points, ranges, "x", "lo", "hi", 1.0).collect())
+    want = sorted((float(x), lo) for x in range(-50, 50) for lo, hi in ((-1e9, 1e9), (0.0, 0.5), (-20.0, 20.0), (7.5, 9.0)) if lo <= x < hi)
+    assert got == want
+
+
+def test_ties_with_nulls(spark):
+    d = spark.createDataFrame([(1, None), (2, 5), (3, 5), (4, 7), (5, None)], "k int, g int")
+    ks = lambda df: sorted(r.k for r in df.collect())
+    assert ks(relational.top_with_ties(d, ["g"], 1)) == [2, 3] and ks(relational.top_with_ties(d, ["-g"], 4)) == [1, 2, 3, 4, 5] and ks(relational.top_with_ties(d, ["-g"], 3)) == [2, 3, 4]
+    assert ks(relational.top_with_ties(d, ["g"], 9)) == [1, 2, 3, 4, 5] and ks(relational.top_with_ties(d.limit(0), ["g"], 2)) == []
+
+
+def test_zeros_count_once(spark):
+    d = spark.sql("select 1 k, 0.0D x union all select 2, -0.0D union all select 3, double('nan') union all select 4, double('nan')")
+    rows = {r.column_name: r.distinct_values for r in pairing.uniqueness(d).collect()}
+    assert rows == {"k": 4, "x": 2}
+
+
+def test_examples_of_many_columns_in_one_pass(spark):
+    s = spark.range(50).selectExpr("id", *[f"id % {i + 2} AS c{i}" for i in range(30)])
+    t = s.selectExpr("id", *[f"IF(id % {i + 5} = 0, NULL, c{i}) AS c{i}" for i in range(30)])
+    r, _ = run(s, t, ["id"])
+    assert r.steps == ["Rows, keys and their coverage", "Column differences on matched rows", "Examples of differing values"]
+    for i, c in enumerate(r.columns):
+        ids = [k for k in range(50) if k % (i + 5) == 0][:5]
+        assert [x["key"] for x in c.samples] == [[str(k)] for k in ids] and all(x["target"] == "NULL" for x in c.samples)

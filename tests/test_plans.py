@@ -38,6 +38,9 @@ def test_generated_rows(spark):
         testdata.column_spec("customer_id", "bigint", False, True), testdata.column_spec("full_name", "varchar(40)", False), testdata.column_spec("email", "varchar(120)"), testdata.column_spec("balance", "numeric(12,2)"),
         testdata.column_spec("score", "double precision"), testdata.column_spec("is_active", "boolean"), testdata.column_spec("signup_date", "date"), testdata.column_spec("last_seen", "timestamp"), testdata.column_spec("id2", "uuid"),
     ]
+    with pytest.raises(ValueError):
+        testdata.generate_rows(spark, [], 5)
+    assert testdata.generate_rows(spark, specs, testdata.MAX_ROWS + 5).count() == testdata.MAX_ROWS and testdata.generate_rows(spark, specs, -1).count() == 0
     rows = testdata.generate_rows(spark, specs, 60)
     assert rows.collect() == testdata.generate_rows(spark, specs, 60).collect() != testdata.generate_rows(spark, specs, 60, 2).collect()
     got = rows.orderBy("row").collect()
