@@ -1,11 +1,17 @@
 """Every registered query against its oracle on the smallest tables."""
 
+import json
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
 from tablecheck.queries import ORACLE_SQL, QUERIES
 from tablecheck.queries.registry import TABLES
-from tests.conftest import SF
+from tests.conftest import ROOT, SF
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +36,16 @@ def test_query(spark, duck, name):
     assert sorted(tuple(str(r[c]) for c in sorted(names)) for r in rows) == want
 
 
-def test_entry_without_the_llm_folder():
-    import __spark_entry__
+def test_entry_without_the_corpus_folders(tmp_path):
+    """A copy of the repository without them imports and has all other queries; another missing module is no reason to drop queries."""
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "llm", "corpus_pipeline.py", "spark-warehouse"))
+    (copy / "tablecheck/llm/__pycache__").mkdir(parents=True)
+
+    def told(where):
+        code = "import json, __spark_entry__ as e; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
+        return subprocess.run([sys.executable, "-c", code], cwd=where, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(where)})
 
-    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
+    assert json.loads(told(copy).stdout) == [sorted(QUERIES), sorted(ORACLE_SQL)]
+    (copy / "corpus_pipeline.py").write_text("import no_such_module")
+    assert "no_such_module" in told(copy).stderr
