@@ -2,8 +2,10 @@
 
 A linear-chain CRF over the lines of a document marks each line as content or boilerplate; Viterbi decoding gives
 the labels and the share of words in content lines decides whether the document stays. The CRF is trained in numpy on
-a bounded sample of labelled documents (`sample_docs`): no line carries a label, so a line of a document labelled low
-in quality teaches junk and a line with a legal phrase a notice, both boilerplate, the others content.
+a bounded sample of labelled documents (`sample_docs`, `sample_bytes`). No line carries a label, so two sources teach it, in any
+language: a line of a document labelled low in quality is junk, and a line that many different documents of the sample
+begin or end with, while most lines of those documents are rare, is a notice; both are boilerplate, the others content.
+Features are shapes of a line, its place, repeats in its document, and its first and last words, hashed.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Defined cases: a null or empty text has no words, fails the base rules and is not
 kept; a line without words is labelled with its neighbours but has no weight; a text of any length is labelled whole;
@@ -13,7 +15,8 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,9 @@ SYMBOLS = b"#*$%&|<>"
 #: Boilerplate has two labels, so that a notice after prose and a page of junk are learned as different transitions.
 CONTENT, JUNK, NOTICE = 0, 1, 2
 N_LABELS = 3
-LEGAL = re.compile(rb"licen[sc]e|copyright|all rights reserved|cookie|privacy policy|terms of (?:use|service)|subscribe|sign up|log in", re.I)
+#: Documents that have a line at least before it counts as a notice, how much more often it comes than a usual line of theirs, and its words.
+NOTICE_DOCS, NOTICE_TIMES, NOTICE_WORDS = 5, 3, 3
+BITS = 12
 
 
 def _level(x: float, *steps: float) -> int:
@@ -40,7 +45,7 @@ def _level(x: float, *steps: float) -> int:
 
 
 #: Indicator features of a line: the width of each block.
-_BLOCKS = {"words": 6, "mean": 5, "upper": 4, "symbols": 4, "digits": 3, "bars": 3, "bangs": 3, "end": 3, "legal": 2, "seen": 2, "repeat": 4, "edge": 3}
+_BLOCKS = {"words": 6, "mean": 5, "upper": 4, "symbols": 4, "digits": 3, "bars": 3, "bangs": 3, "end": 3, "seen": 2, "repeat": 4, "edge": 3, "opening": 1 << BITS, "closing": 1 << BITS}
 _AT = dict(zip(_BLOCKS, np.cumsum([0, *_BLOCKS.values()][:-1]).tolist(), strict=True))
 N_FEATURES = sum(_BLOCKS.values())
 
@@ -67,10 +72,10 @@ def line_features(lines: list[bytes]) -> tuple[list[list[int]], list[int]]:
             _level(line.count(b"|") / max(n, 1), 0.02, 0.2),
             _level(line.count(b"!") / max(n, 1), 0.05, 0.3),
             0 if last in b"." and last else 1 if last in b"!?:;\"'" and last else 2,
-            int(bool(LEGAL.search(line))),
             int(n > 0 and line in seen),
             _level(1 - len(set(words)) / max(n, 1), 0.3, 0.5, 0.7) if n >= 8 else 0,
             0 if i == 0 else 1 if i == len(lines) - 1 else 2,
+            *(crc32(b" ".join(part).lower()) & (1 << BITS) - 1 for part in (words[:2], words[-2:])),
         )
         seen.add(line)
         out.append([at + v for at, v in zip(_AT.values(), values, strict=True)])
@@ -78,6 +83,19 @@ def line_features(lines: list[bytes]) -> tuple[list[list[int]], list[int]]:
     return out, counts
 
 
+def notices(docs: list[list[bytes]]) -> set[bytes]:
+    """Lines that many different documents have, at their edges mostly, and far more often than those documents' lines usually come: copies do not count."""
+    distinct = {tuple(s for x in lines if (s := x.strip())) for lines in docs}
+    count = Counter(x for lines in distinct for x in set(lines))
+    edge = Counter(x for lines in distinct if lines for x in {lines[0], lines[-1]})
+    usual: Counter[bytes] = Counter()
+    for lines in distinct:
+        if lines:
+            middle = sorted(count[x] for x in lines)[(len(lines) - 1) // 2]
+            usual.update({x for x in lines if count[x] >= NOTICE_TIMES * middle})
+    return {x for x, n in count.items() if n >= NOTICE_DOCS and len(x.split()) >= NOTICE_WORDS and 2 * usual[x] >= n and 5 * edge[x] >= 4 * n}
+
+
 class LineModel:
     """Weights of the CRF: features to the three labels, transitions, start."""
 
@@ -93,12 +111,13 @@ class LineModel:
         """docs: text and quality, 1 good and 0 bad."""
         model = cls.blank()
         feats, gold, lens = [], [], []
-        for text, quality in docs:
-            lines = (text or "").encode().split(b"\n")
+        split = [(text or "").encode().split(b"\n") for text, _ in docs]
+        common = notices(split)
+        for lines, (_, quality) in zip(split, docs, strict=True):
             f, counts = line_features(lines)
             feats += f
             lens.append(len(lines))
-            gold += [NOTICE if LEGAL.search(x) else JUNK if not quality and n else CONTENT for x, n in zip(lines, counts, strict=True)]
+            gold += [NOTICE if x.strip() in common else JUNK if not quality and n else CONTENT for x, n in zip(lines, counts, strict=True)]
         if len(set(gold)) < 2:
             return model
         x, y, n = np.array(feats), np.array(gold), np.array(lens)

@@ -85,6 +85,22 @@ def test_content_and_boilerplate(spark, model):
     assert got[3].n_content_lines == got[3].n_lines - 1
 
 
+def test_notices_of_any_language():
+    rng = random.Random(5)
+    docs = [f"{prose(rng, lang, 60)}\n{end}" for lang, end in (("de", "Alle Rechte vorbehalten."), ("fr", "Tous droits réservés.")) for _ in range(8)]
+    docs += [prose(rng, "en", 60)] * 9  # exact copies
+    near = prose(rng, "en", 100).split("\n")
+    docs += ["\n".join([*near[:i], prose(rng, "en", 8), *near[i + 1 :]]) for i in range(len(near))]  # near copies
+    middle = "the same line within many texts."
+    docs += [f"{prose(rng, 'en', 20)}\n{middle}\n{prose(rng, 'en', 20)}" for _ in range(8)]
+    found = quality_lines.notices([d.encode().split(b"\n") for d in docs])
+    assert found == {"Alle Rechte vorbehalten.".encode(), "Tous droits réservés.".encode()}
+    model = quality_lines.LineModel.train([(d, 1) for d in docs])
+    lines = f"{prose(rng, 'fr', 60)}\nTous droits réservés.".encode().split(b"\n")
+    labels = model.decode(np.array(quality_lines.line_features(lines)[0]), np.array([len(lines)]))
+    assert labels[-1] == quality_lines.NOTICE and (labels[:-1] == quality_lines.CONTENT).all()
+
+
 def test_odd_rows(spark, model):
     rows = quality_lines.apply(odd_documents(spark), model).collect()
     assert len(rows) == 14 and all(not r.kept and r.base_failed for r in rows if r.doc_id in (2, 3, 4))
