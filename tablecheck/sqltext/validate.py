@@ -1,4 +1,4 @@
-"""Syntax of a query by the engine's own parser: Spark's for Spark; other dialects say that they have none."""
+"""Syntax of a query by Spark's own parser; queries of some other dialects are put in its words first, the others say that they have none."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+from tablecheck.sqltext import constructs, scan
+from tablecheck.sqltext.convert import convert
+from tablecheck.sqltext.dialects import dialect as by_name
 from tablecheck.sqltext.generate import VARIABLE
 
 
@@ -41,9 +44,31 @@ def original_offset(offset: int, places: list[tuple[int, int, int]], names: list
     return offset + shift
 
 
+#: Dialects whose queries Spark's grammar reads once names, strings and row limits are rewritten.
+READ = ("duckdb", "hive", "mariadb", "mysql", "postgresql", "redshift", "trino")
+
+
 def validate(spark: SparkSession, sql: str, dialect: str = "spark") -> Syntax:
-    if dialect != "spark":
+    """valid, invalid (with the first place that cannot be read) or unavailable.
+
+    A query of another dialect is invalid if it holds a construct that the dialect lacks, and is read in Spark's words
+    otherwise; where it holds one that only Spark lacks, nothing can be said.
+    """
+    if dialect == "spark":
+        return _parsed(spark, sql)
+    d = by_name(dialect)
+    if d.id not in READ:
         return Syntax("unavailable", f"no parser for {dialect}")
+    if foreign := constructs.foreign(probe(sql)[0], d):
+        token, name = foreign
+        return Syntax("invalid", f"{d.label} has no {name}", probe(sql)[0].count("\n", 0, token.start) + 1)
+    found = _parsed(spark, convert(sql, d.id, "spark").sql)
+    if found.status == "invalid" and any(c.id in d.has and c.id not in by_name("spark").has and c.find(scan.code(sql, d)) for c in constructs.CONSTRUCTS):
+        return Syntax("unavailable", "holds constructs that the parser does not know")
+    return found
+
+
+def _parsed(spark: SparkSession, sql: str) -> Syntax:
     text, places = probe(sql)
     try:
         spark._jsparkSession.sessionState().sqlParser().parsePlan(text.strip().rstrip(";"))

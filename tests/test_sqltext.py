@@ -29,6 +29,7 @@ def test_scan_joins_to_the_text():
     ("plsql", "bigquery", "select nvl(a, 'x'), sysdate from t", "select COALESCE(a, 'x'), CURRENT_TIMESTAMP from t"),
     ("postgresql", "db2", "select substring(a from 2 for 3) from t", "select substring(a from 2 for 3) from t"),
     ("spark", "transactsql", "select length(a) from t", "select LEN(a) from t"),
+    ("mysql", "spark", "select a from t limit 5, 10", "select a from t LIMIT 10 OFFSET 5"), ("mysql", "sqlite", "select a from t limit 5, 10", "select a from t limit 5, 10"),
 ])
 def test_convert(source, target, sql, want):
     assert convert.convert(sql, source, target).sql == want
@@ -172,7 +173,17 @@ def test_validate(spark):
     assert validate.validate(spark, "select {{field}} from t where a = '{{x}}'").status == "valid"
     bad = validate.validate(spark, "select {{field}}\nfrom t wher a = 1 x y")
     assert bad.status == "invalid" and bad.line == 2
-    assert validate.validate(spark, "select 1", "trino").status == "unavailable"
+    assert validate.validate(spark, "select 1", "snowflake").status == "unavailable"
+
+
+@pytest.mark.parametrize(("dialect_id", "sql", "status"), [
+    ("trino", "WITH x AS (SELECT 1 AS a) SELECT a FROM x WHERE a IS DISTINCT FROM 2", "valid"), ("trino", "SELECT a FRM t", "invalid"), ("trino", 'SELECT "a b" FROM "t"', "valid"), ("mysql", "SELECT `a` FROM t LIMIT 5, 10", "valid"),
+    ("mysql", 'SELECT a FROM t WHERE b = "x"', "valid"), ("mysql", "SELECT a\nFROM t WHERE a IS DISTINCT FROM b", "invalid"), ("mariadb", "SELECT a <=> b FROM t", "valid"), ("postgresql", "SELECT a::int, 'it''s' FROM t WHERE b ILIKE 'x%'", "valid"),
+    ("postgresql", "SELECT a FROM t WHERE a =\n", "invalid"), ("postgresql", "SELECT a FROM t WHERE a <=> b", "invalid"), ("duckdb", "SELECT a FROM t QUALIFY row_number() OVER (ORDER BY a) = 1", "unavailable"), ("redshift", "SELECT {{x}} FROM t", "valid"), ("plsql", "SELECT 1 FROM dual", "unavailable"),
+])
+def test_validate_other_dialects(spark, dialect_id, sql, status):
+    found = validate.validate(spark, sql, dialect_id)
+    assert found.status == status and (found.line >= 1) == (status == "invalid") and bool(found.message) == (status != "valid")
 
 
 def test_inferred_samples(spark):
