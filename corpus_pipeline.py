@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next stage's docs.
 All but the last return the columns of documents.
+
+Defined cases, for every stage: a null text counts as empty; rows without doc_id, with empty or null texts or with nulls in other
+columns stay (mixing draws for them as for others, packing packs them with a null doc_id); texts of any length are read
+whole; repeated rows are judged alike, one of them stays in the n-gram join; rows that share a doc_id and differ in text
+are different documents; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
