@@ -14,6 +14,8 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -31,7 +33,7 @@ SHARES = (0.5, 0.3, 0.2)
 WIDTHS = (1, 2, 3)
 GAP = max(WIDTHS)
 #: Characters of the words whose vectors are kept.
-CACHE_CHARS = 6_000_000
+CACHE_CHARS = 4_000_000
 WORD = re.compile(r"\w+")
 
 
@@ -45,9 +47,13 @@ class Words:
 
     def __init__(self):
         self.index: dict[str, int] = {"": 0}
-        self.pairs: list[tuple[int, ...]] = [(-1,) * len(SHARES)]
+        self.flat = array("i", (-1,) * len(SHARES))  # the buckets of all words, one after another
         self.held = 0
 
+    def buckets(self) -> np.ndarray:
+        """A row of buckets for each word."""
+        return np.array(self.flat, np.int32).reshape(-1, len(SHARES))
+
     def number(self, all_texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of all texts with gaps after each, and where each text starts and ends."""
         index, parts, gap = self.index, [], np.zeros(GAP, np.int64)
@@ -58,8 +64,8 @@ class Words:
             starts.append(at)
             ends.append(at + len(words))
             at += len(words) + GAP
-        for w in list(index)[len(self.pairs) :]:
-            self.pairs.append(buckets(w))
+        for w in islice(index, len(self.flat) // len(SHARES), None):
+            self.flat.extend(buckets(w))
             self.held += len(w) + 10
         return np.concatenate(parts) if parts else gap, np.array(starts), np.array(ends)
 
@@ -123,15 +129,13 @@ class ToxicModel:
             return model
         words, rng = Words(), np.random.default_rng(11)
         tokens, starts, ends = words.number([d[0] or "" for d in docs])
-        pairs = np.array(words.pairs)
+        pairs = words.buckets()
         n = len(docs)
-        doc = np.repeat(np.arange(n), ends - starts)
-        real = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends, strict=True)])
         lang = np.array([model.langs.index(d[1]) if d[1] else -1 for d in docs])
         # languages: naive Bayes over buckets
         count = np.full((1 << BITS, max(1, len(model.langs))), 0.5)
-        known = lang[doc] >= 0
-        np.add.at(count, (pairs[tokens[real][known], 0], lang[doc[known]]), 1)
+        for d in np.flatnonzero(lang >= 0):  # document by document: all tokens at once would take much memory
+            np.add.at(count[:, lang[d]], pairs[tokens[starts[d] : ends[d]], 0], 1)
         model.lang_table = np.log(count / count.sum(axis=0)).astype(np.float32)
         model.lang_table -= model.lang_table.mean(axis=1, keepdims=True)
         # a quarter of the rows calibrates, the others train
@@ -140,7 +144,7 @@ class ToxicModel:
         hold[turn[: n // 4]] = True
         # warm start: the first dimension holds how much likelier a bucket is in toxic documents
         pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
-        for d in np.flatnonzero(~hold):  # document by document: all pairs at once would take much memory
+        for d in np.flatnonzero(~hold):
             (pos if label[d] else neg)[np.unique(pairs[tokens[starts[d] : ends[d]]])] += 1
         p, q = (pos + 0.2) / (label[~hold].sum() + 1), (neg + 0.6) / ((1 - label[~hold]).sum() + 1)
         model.emb[:, 0] = np.where(pos + neg >= 4, np.clip(np.log(p / q), -2, 3), 0)
@@ -198,10 +202,14 @@ class ToxicModel:
 
     def _calibrate(self, docs, rows: np.ndarray, clean_weight: float) -> None:
         """For each guessed language the threshold with the best balance of recall and precision; all rows where it has few."""
-        words = Words()
-        tokens, starts, ends = words.number([docs[i][0] or "" for i in rows])
-        pairs = np.array(words.pairs)
-        logit, lang = self.logits(self.vectors(pairs)[tokens], starts, ends), self.guess(pairs[tokens, 0], starts, ends)
+        logits, langs = [], []
+        for lo in range(0, len(rows), 100):
+            words = Words()
+            tokens, starts, ends = words.number([docs[i][0] or "" for i in rows[lo : lo + 100]])
+            pairs = words.buckets()
+            logits.append(self.logits(self.vectors(pairs)[tokens], starts, ends))
+            langs.append(self.guess(pairs[tokens, 0], starts, ends))
+        logit, lang = np.concatenate(logits), np.concatenate(langs)
         label = np.array([docs[i][2] for i in rows])
         overall = best_threshold(logit, label, clean_weight)
         for k in range(len(self.threshold)):
@@ -229,7 +237,7 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.pairs, self.vectors = Words(), np.zeros((0, len(SHARES)), np.int64), np.zeros((0, DIM), np.float32)
+        self.words, self.pairs, self.vectors = Words(), np.zeros((0, len(SHARES)), np.int32), np.zeros((0, DIM), np.float32)
 
     def __call__(self, all_texts: list[str]) -> np.ndarray:
         if not self.model.trained or not all_texts:
@@ -237,8 +245,8 @@ class Scorer:
         if self.words.held > CACHE_CHARS:
             self.clear()
         tokens, starts, ends = self.words.number(all_texts)
-        if len(self.words.pairs) > len(self.pairs):
-            new = np.array(self.words.pairs[len(self.pairs) :])
+        if len(self.words.flat) > self.pairs.size:
+            new = np.array(self.words.flat[self.pairs.size :], np.int32).reshape(-1, len(SHARES))
             self.pairs, self.vectors = np.concatenate([self.pairs, new]), np.concatenate([self.vectors, self.model.vectors(new)])
         lang = self.model.guess(self.pairs[tokens, 0], starts, ends)
         return 1 / (1 + np.exp(-(self.model.logits(self.vectors[tokens], starts, ends) - self.model.threshold[lang])))
