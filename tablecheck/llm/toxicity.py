@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, collected, map_texts, remainder, sample_rows, texts
+from .common import Adam, bound_batches, collected, map_texts, remainder, sample_rows, texts
 
 SCHEMA = "doc_id long, score double, predicted int"
 FOLDS, HELD_OUT = 5, 0
@@ -32,8 +32,8 @@ BITS, DIM, FILTERS = 16, 16, 12
 SHARES = (0.5, 0.3, 0.2)
 WIDTHS = (1, 2, 3)
 GAP = max(WIDTHS)
-#: Characters of the words whose vectors are kept.
-CACHE_CHARS = 4_000_000
+#: Characters of the words whose vectors are kept, and bytes of text scored at once: a Python worker's memory follows both.
+CACHE_CHARS, SLICE_BYTES = 1_500_000, 500_000
 WORD = re.compile(r"\w+")
 
 
@@ -262,7 +262,8 @@ def apply(docs: DataFrame, model: ToxicModel) -> DataFrame:
         score = held[0](texts(part))
         return {"doc_id": part.column("doc_id"), "score": score, "predicted": (score >= 0.5).astype(np.int32)}
 
-    out = map_texts(docs.select("doc_id", "text"), work, SCHEMA)
+    bound_batches(docs.sparkSession)
+    out = map_texts(docs.select("doc_id", "text"), work, SCHEMA, most=SLICE_BYTES)
     return out.withColumn("held_out", F.coalesce(remainder("doc_id", FOLDS) == HELD_OUT, F.lit(False)))
 
 
@@ -276,7 +277,8 @@ def keep_clean(docs: DataFrame, model: ToxicModel) -> DataFrame:
         keep = pa.array(held[0](texts(part)) < 0.5)
         return {c: part.column(c).filter(keep) for c in part.schema.names}
 
-    return map_texts(docs, work, docs.schema)
+    bound_batches(docs.sparkSession)
+    return map_texts(docs, work, docs.schema, most=SLICE_BYTES)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = 1200, sample_clean: int = 2000, sample_bytes: int = 32_000_000) -> ToxicModel:

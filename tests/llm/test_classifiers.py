@@ -1,10 +1,11 @@
 import random
+import tracemalloc
 from zlib import crc32
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tablecheck.llm import cotraining, language, toxicity
+from tablecheck.llm import common, cotraining, language, toxicity
 from tests.conftest import SF01
 from tests.llm.helpers import empty_documents, odd_documents, prose
 
@@ -174,6 +175,32 @@ def test_toxicity_odd_rows(spark):
     assert {r.score for r in toxicity.apply(docs, blank).collect()} == {0.0} and toxicity.keep_clean(docs, blank).count() == 14
 
 
+def test_toxicity_holds_little_at_once(spark):
+    """30 MB of text in one task: neither the batches that come nor the words that are kept grow with it; every row is scored."""
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 1000) AS text")
+    setting = common.BATCH_SETTING
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "64m")
+        model = toxicity.ToxicModel(["en"])
+        model.trained = True
+        assert toxicity.apply(docs, model).count() == 3000 and toxicity.keep_clean(docs, model).count() <= 3000
+        sizes = common.map_texts(docs, lambda part: {"n": [part.num_rows], "whole": [part.column("text").buffers()[2].size]}, "n long, whole long").collect()
+        assert sum(r.n for r in sizes) == 3000 and max(r.whole for r in sizes) <= 2 * common.BATCH_BYTES
+        spark.conf.set(setting, "1m")
+        toxicity.apply(docs, model)
+        assert spark.conf.get(setting) == "1m"  # a lower one stays
+    finally:
+        spark.conf.set(setting, before)
+    score = toxicity.Scorer(model)
+    tracemalloc.start()
+    for i in range(60):
+        assert len(score([" ".join(f"w{i}x{d}x{k}" for k in range(500)) for d in range(10)])) == 10
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 45_000_000
+
+
 def test_cotraining(spark):
     docs, labels, pages = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels", "pages"))
     assert cotraining.with_pages(docs, pages).count() == docs.count()
